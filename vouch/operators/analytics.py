@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,34 +151,30 @@ def precision_overall(labelled: DataFrame, goal: float = fv.PRECISION_GOAL) -> D
         F.lit(fv.LABELS_PER_LEVEL).alias("target_per_level"))
 
 
-def what_if(evidence: DataFrame, labels: DataFrame, scenarios: DataFrame,
+def what_if(evidence: DataFrame, labels: DataFrame, scenarios: Mapping[str, Mapping[str, float]],
             negative: Column | None = None, key: str = "business_id") -> DataFrame:
     """Precision by level if some signal weights changed, for many scenarios in one job.
 
-    ``scenarios``: scenario, signal, weight. Evidence is first reduced to the strongest row
+    ``scenarios``: name -> {signal: weight}. Evidence is first reduced to the strongest row
     per labelled entity and signal (a changed weight replaces every weight of its signal, so
     the strongest row is enough), and only that small frame is repeated per scenario.
     """
     if negative is None:
         negative = F.col("signal") == fv.NEGATIVE_SIGNAL
+    names = F.array(*[F.lit(n) for n in scenarios])
     labels = labels.select(key, "verdict")
     reduced = evidence.join(labels.select(key), key, "left_semi").groupBy(key, "signal").agg(
         F.max("weight").alias("weight"))
-    names = scenarios.select("scenario").distinct()
-    # the override table is a handful of rows: one map per scenario, attached to each row
-    overrides = scenarios.groupBy("scenario").agg(F.map_from_entries(
-        F.collect_list(F.struct("signal", "weight"))).alias("changed"))
-    bundle = names.join(overrides, "scenario").agg(
-        F.collect_list(F.struct("scenario", "changed")).alias("all"))
-    spread = reduced.join(F.broadcast(bundle), F.lit(True)).select(
-        key, "signal", "weight", F.inline("all"))
-    changed = spread.select(
-        "scenario", key, "signal",
-        F.coalesce(F.try_element_at("changed", F.col("signal")), F.col("weight"))
-        .alias("weight"))
+    chain = None
+    for name, changes in scenarios.items():
+        table = F.create_map(*[F.lit(x) for kv in changes.items() for x in kv])
+        chain = (F if chain is None else chain).when(
+            F.col("scenario") == name, F.try_element_at(table, F.col("signal"))
+            if changes else F.lit(None).cast("double"))
+    changed = reduced.withColumn("scenario", F.explode(names)).withColumn(
+        "weight", F.coalesce(chain, F.col("weight")))
     scored = noisy_or(changed, ["scenario", key], negative)
-    every = labels.join(F.broadcast(bundle), F.lit(True)).select(
-        key, "verdict", F.inline("all")).drop("changed")
+    every = labels.withColumn("scenario", F.explode(names))
     levels = every.join(scored, ["scenario", key], "left").select(
         "scenario", "verdict",
         confidence_label(F.coalesce("score", F.lit(0.0))).alias("level"))
