@@ -135,7 +135,7 @@ def osm_to_listing(elements: DataFrame, keep: list[str] | None = None,
             F.lit("https://www.instagram.com/"), F.regexp_replace(u, "^@+", ""))))
     phones = F.filter(F.transform(F.flatten(F.array(*[
         F.split(F.coalesce(tag(k), F.lit("")), ";") for k in ("phone", "contact:phone")])),
-        F.trim), lambda p: p != "")
+        lambda p: F.trim(p)), lambda p: p != "")
     street = F.concat_ws(" ", tag("addr:housenumber"), tag("addr:street"))
     address = F.nullif(F.concat_ws(", ", F.nullif(street, F.lit("")), tag("addr:city"),
                                    tag("addr:postcode")), F.lit(""))
