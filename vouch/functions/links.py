@@ -116,37 +116,29 @@ def phone_e164(number: ColumnOrName, country: ColumnOrName) -> Column:
     """E.164 for the countries of the built-in numbering plans, else null.
 
     Covers plain national and international writing with the usual separators; it is a
-    subset of a full numbering library (no letters, no extensions)."""
+    subset of a full numbering library (no letters, no extensions). The number is first
+    written as +code national, then one pattern per plan checks the national length."""
+    def plan_of(part: int) -> Column:
+        pairs = [F.lit(x) for cc, plan in fv.PHONE_PLANS.items() for x in (cc, plan[part])]
+        return F.try_element_at(F.create_map(*pairs), F.upper(col(country)))
+
     raw = F.trim(col(number))
-    country = F.upper(col(country))
-    clean = raw.rlike(r"^\+?[\d\s().\-/]+$")
     digits = F.regexp_replace(raw, r"\D", "")
-    chain = None
-    for code, (calling, trunk, prefix, lengths) in fv.PHONE_PLANS.items():
-        plus = raw.startswith("+")
-        abroad = F.when(plus, digits).when(
-            digits.startswith(prefix), F.substring(digits, len(prefix) + 1, 20))
-        national = F.regexp_replace(digits, rf"^{trunk}", "")
-        ok = F.length(national).isin(*[int(n) for n in lengths])
-        value = F.when(abroad.isNotNull(), _international(abroad)).when(
-            ok, F.concat(F.lit("+" + calling), national))
-        chain = (F if chain is None else chain).when(country == code, value)
-    other = F.when(raw.startswith("+"), _international(digits))
-    return F.when(clean, chain.otherwise(other))
-
-
-def _international(digits: Column) -> Column:
-    """+<calling code><number> when the national length fits a known plan."""
-    result = None
-    plans: dict[str, set[int]] = {}
-    for calling, _, _, lengths in fv.PHONE_PLANS.values():
-        plans.setdefault(calling, set()).update(int(n) for n in lengths)
-    for calling, lengths in plans.items():
-        rest = F.regexp_replace(F.substring(digits, len(calling) + 1, 20), r"^0", "")
-        fits = digits.startswith(calling) & F.length(rest).isin(*sorted(lengths))
-        result = (F if result is None else result).when(
-            fits, F.concat(F.lit("+" + calling), rest))
-    return result
+    calling, trunk, prefix = plan_of(0), plan_of(1), plan_of(2)
+    national = F.when(digits.startswith(trunk), F.substring(digits, 2, 20)).otherwise(digits)
+    full = (F.when(raw.startswith("+"), digits)
+            .when(digits.startswith(prefix), F.substring(digits, F.length(prefix) + 1, F.lit(20)))
+            .otherwise(F.concat(calling, national)))
+    clean = raw.rlike(r"^\+?[\d\s().\-/]+$")
+    codes = "|".join(sorted({p[0] for p in fv.PHONE_PLANS.values()}, key=len, reverse=True))
+    # a trunk zero written inside an international number is dropped
+    plain = F.regexp_replace(F.when(clean, full), rf"^({codes})0", "$1")
+    lengths: dict[str, set[int]] = {}
+    for code, _, _, allowed in fv.PHONE_PLANS.values():
+        lengths.setdefault(code, set()).update(allowed)
+    shapes = "|".join(rf"{code}(?:" + "|".join(rf"\d{{{n}}}" for n in sorted(ns)) + ")"
+                      for code, ns in lengths.items())
+    return let(plain, lambda p: F.when(p.rlike(rf"^(?:{shapes})$"), F.concat(F.lit("+"), p)))
 
 
 def phone_link(number: ColumnOrName, country: ColumnOrName) -> Column:

@@ -64,30 +64,38 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
                            latin.alias("name_latin"))
     known = record_match(todo, records)
     done = known.withColumn("stage", F.lit("record"))
+    open_ = cut(todo.join(known, KEY, "left_anti"))
+    if open_.isEmpty():
+        return done
     # records seen before keep their entity and lend it their links
-    seen = todo.join(known, KEY)
     held_links = entity_links.select("business_id", "kind", "value").unionByName(
-        _link_rows(seen)).distinct()
+        _link_rows(todo.join(known, KEY))).distinct()
     base = _entity_columns(entities)
-    open_ = cut(todo.join(known, KEY, "left_anti"))
-    base, held_links, done = cut(base), cut(held_links), cut(done)
+    some = not base.isEmpty()
     for _ in range(max_rounds):
-        if open_.isEmpty():
+        pending = open_
+        joined = None
+        if some:
+            by_link = link_match(open_, base, held_links)
+            rest = open_.join(by_link, KEY, "left_anti")
+            by_name = nearby_match(rest, base).select(*KEY, "business_id")
+            joined = cut(by_link.withColumn("stage", F.lit("link")).unionByName(
+                by_name.withColumn("stage", F.lit("name"))))
+            done = done.unionByName(joined)
+            pending = cut(open_.join(joined, KEY, "left_anti"))
+            if pending.isEmpty():
+                return done
+        new = cut(_leaders(pending).select(*KEY, entity_id().alias("business_id"),
+                                           F.lit("new").alias("stage")))
+        done = done.unionByName(new)
+        left = cut(pending.join(new, KEY, "left_anti"))
+        if left.isEmpty():
             return done
-        by_link = link_match(open_, base, held_links)
-        rest = open_.join(by_link, KEY, "left_anti")
-        by_name = nearby_match(rest, base).select(*KEY, "business_id")
-        matched = cut(by_link.withColumn("stage", F.lit("link")).unionByName(
-            by_name.withColumn("stage", F.lit("name"))))
-        pending = cut(open_.join(matched, KEY, "left_anti"))
-        first = _leaders(pending)
-        new = cut(first.select(*KEY, entity_id().alias("business_id"), F.lit("new").alias("stage")))
-        joined = matched.unionByName(new)
+        joined = new if joined is None else joined.unionByName(new)
         members = open_.join(joined.select(*KEY, "business_id"), KEY)
-        done = cut(done.unionByName(joined))
         held_links = cut(held_links.unionByName(_link_rows(members)).distinct())
         base = cut(_merge_fields(base, members))
-        open_ = cut(pending.join(new, KEY, "left_anti"))
+        open_, some = left, True
     raise RuntimeError(f"resolution did not settle in {max_rounds} rounds")
 
 
