@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,31 +50,39 @@ def link_match(listings: DataFrame, entities: DataFrame, entity_links: DataFrame
     return both.groupBy(*key).agg(F.min("business_id").alias("business_id"))
 
 
-def _names(entities: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per entity and distinct normalised name."""
-    names = F.array_distinct(F.array_compact(F.array(*[
+def with_name_keys(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Add ``name_keys``: the distinct normalised names of the row."""
+    keys = F.array_distinct(F.array_compact(F.array(*[
         F.nullif(tx.normalize_name(c), F.lit("")) for c in columns])))
-    return entities.select("business_id", "city_id", "lat", "lng", F.explode(names).alias("name"))
+    return rows.withColumn("name_keys", keys)
 
 
 def nearby_match(listings: DataFrame, entities: DataFrame, *, key: list[str] | None = None,
                  name_columns: tuple[str, ...] = ("name_latin", "name_fa"),
                  meters: float = fv.NEARBY_METERS, cut: float = fv.NAME_SIMILARITY_CUT,
-                 smallest: bool = False) -> DataFrame:
+                 smallest: bool = False,
+                 settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(key, business_id, similarity): the most similar entity of the city in reach.
 
     Ties go to an equal name, then to the smaller id; with ``smallest`` any similar entity
     counts and the smallest id wins. Equal names, the usual hot case, never form pairs: they
     are answered per sub-cell. Other names are compared once per distinct (name, place).
+    Rows may bring prepared ``name_keys``; ``settle`` may store the equal-name answer, which
+    is used twice.
     """
     key = key or KEY
+    if "name_keys" not in listings.columns:
+        listings = with_name_keys(listings, ("name",))
+    if "name_keys" not in entities.columns:
+        entities = with_name_keys(entities, name_columns)
     located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    near = listings.where(located).select(
-        *key, "city_id", "lat", "lng", tx.normalize_name("name").alias("name")
-    ).where(F.col("name") != "")
-    held = _names(entities.where(located), list(name_columns))
+    near = listings.where(located).select(*key, "city_id", "lat", "lng",
+                                          F.get("name_keys", F.lit(0)).alias("name"))
+    near = near.where(F.col("name").isNotNull())
+    held = entities.where(located).select("business_id", "city_id", "lat", "lng",
+                                          F.explode("name_keys").alias("name"))
     place = ["city_id", "name", "lat", "lng"]
-    equal = min_id_within(near, held, ["city_id", "name"], meters, "business_id")
+    equal = settle(min_id_within(near, held, ["city_id", "name"], meters, "business_id"))
     asked = near.select(*place).distinct()
     if not smallest:
         asked = asked.join(equal.select(*place), place, "left_anti")

@@ -145,15 +145,12 @@ def min_id_within(left: DataFrame, right: DataFrame, keys: list[str], meters: fl
             F.col(ident).alias("best"), "_row", "_col", "_rr", "_rc"))).alias("_open"))
     open_cells = F.filter("_open", lambda o: F.coalesce(o["best"] < F.col("_sure"), F.lit(True)))
     hits = pts.join(summary.withColumn("_open", open_cells), cell_key)
-    border = (hits.where(F.size("_open") > 0)
-              .select(*keys, "lat", "lng", "_sure", F.explode("_open").alias("_o"))
-              .select(*keys, "lat", "lng", "_sure", "_o._row", "_o._col", "_o._rr", "_o._rc"))
-    far = ids.select(*keys, "_row", "_col", "_rr", "_rc", ident, F.col("lat").alias("r_lat"),
-                     F.col("lng").alias("r_lng"))
-    exact = border.join(far, [*keys, "_row", "_col", "_rr", "_rc"]).where(
-        F.coalesce(F.col(ident) < F.col("_sure"), F.lit(True))
-        & (geo.distance_m("lat", "lng", "r_lat", "r_lng") <= meters))
-    sure = hits.where(F.col("_sure").isNotNull()).select(
-        *keys, "lat", "lng", F.col("_sure").alias(ident))
-    found = sure.unionByName(exact.select(*keys, "lat", "lng", ident))
-    return found.groupBy(*keys, "lat", "lng").agg(F.min(ident).alias(ident))
+    border = hits.select(*keys, "lat", "lng", "_sure", F.explode_outer("_open").alias("_o")).select(
+        *keys, "lat", "lng", "_sure", "_o._row", "_o._col", "_o._rr", "_o._rc")
+    far = ids.select(*keys, "_row", "_col", "_rr", "_rc", F.col(ident).alias("_far"),
+                     F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    tried = border.join(far, [*keys, "_row", "_col", "_rr", "_rc"], "left")
+    exact = F.when(geo.distance_m("lat", "lng", "r_lat", "r_lng") <= meters, F.col("_far"))
+    # least() skips nulls
+    found = tried.groupBy(*keys, "lat", "lng").agg(F.min(F.least("_sure", exact)).alias(ident))
+    return found.where(F.col(ident).isNotNull())

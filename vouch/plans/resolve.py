@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from vouch import fixed_values as fv
 from vouch.functions import text as tx
 from vouch.operators.lineage import cut
-from vouch.operators.matching import KEY, link_match, nearby_match, record_match
+from vouch.operators.matching import (
+    KEY,
+    link_match,
+    nearby_match,
+    record_match,
+    with_name_keys,
+)
 from vouch.operators.ranking import survivorship
 
 
@@ -40,11 +46,11 @@ def entity_id() -> Column:
 def _leaders(pending: DataFrame) -> DataFrame:
     """Open listings that no earlier open listing could attract."""
     self_ = pending.select(F.col("_ord").alias("business_id"), "city_id", "lat", "lng",
-                           "name_fa", "name_latin")
+                           "name_keys")
     links = pending.select(F.col("_ord").alias("business_id"), F.explode("links").alias("l")
                            ).select("business_id", "l.kind", "l.value")
     by_link = link_match(pending, self_, links, key=["_ord"])
-    by_name = nearby_match(pending, self_, key=["_ord"], smallest=True)
+    by_name = nearby_match(pending, self_, key=["_ord"], smallest=True, settle=cut)
     earlier = by_link.select("_ord", "business_id").unionByName(
         by_name.select("_ord", "business_id")).where(F.col("business_id") < F.col("_ord"))
     return pending.join(earlier.select("_ord"), "_ord", "left_anti")
@@ -62,6 +68,7 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
     todo = listings.select(*KEY, "city_id", "name", "lat", "lng", "links",
                            order_key(order).alias("_ord"), persian.alias("name_fa"),
                            latin.alias("name_latin"))
+    todo = with_name_keys(todo, ("name",))
     known = record_match(todo, records)
     done = known.withColumn("stage", F.lit("record"))
     open_ = cut(todo.join(known, KEY, "left_anti"))
@@ -70,15 +77,15 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
     # records seen before keep their entity and lend it their links
     held_links = entity_links.select("business_id", "kind", "value").unionByName(
         _link_rows(todo.join(known, KEY))).distinct()
-    base = _entity_columns(entities)
+    base = cut(with_name_keys(_entity_columns(entities), ("name_latin", "name_fa")))
     some = not base.isEmpty()
     for _ in range(max_rounds):
         pending = open_
         joined = None
         if some:
-            by_link = link_match(open_, base, held_links)
+            by_link = cut(link_match(open_, base, held_links))
             rest = open_.join(by_link, KEY, "left_anti")
-            by_name = nearby_match(rest, base).select(*KEY, "business_id")
+            by_name = nearby_match(rest, base, settle=cut).select(*KEY, "business_id")
             joined = cut(by_link.withColumn("stage", F.lit("link")).unionByName(
                 by_name.withColumn("stage", F.lit("name"))))
             done = done.unionByName(joined)
@@ -111,11 +118,10 @@ def _entity_columns(entities: DataFrame) -> DataFrame:
 def _merge_fields(base: DataFrame, members: DataFrame) -> DataFrame:
     """Entities after this round: existing values stay, gaps are filled in listing order."""
     located = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng"))
-    rows = base.select("business_id", "city_id", located.alias("point"), "name_fa", "name_latin",
-                       F.lit("").alias("_ord")).unionByName(
-        members.select("business_id", "city_id", located.alias("point"), "name_fa",
-                       "name_latin", "_ord"))
+    columns = ["business_id", "city_id", located.alias("point"), "name_fa", "name_latin"]
+    rows = base.select(*columns, F.lit("").alias("_ord")).unionByName(
+        members.select(*columns, "_ord"))
     out = survivorship(rows, "business_id", ["city_id", "point", "name_fa", "name_latin"],
                        ["_ord"])
-    return out.select("business_id", "city_id", "point.lat", "point.lng", "name_fa",
-                      "name_latin")
+    out = out.select("business_id", "city_id", "point.lat", "point.lng", "name_fa", "name_latin")
+    return with_name_keys(out, ("name_latin", "name_fa"))
