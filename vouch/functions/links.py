@@ -8,16 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vouch import fixed_values as fv
-from vouch.functions.text import ColumnOrName, col, quote
+from vouch.functions.text import ColumnOrName, col, let, quote
 
 LINK_TYPE = "struct<kind:string,value:string,url:string>"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def url_parts(url: ColumnOrName) -> Column:
     """Struct (scheme, hostname, host, path, query, segments). The host is lowered and loses
     a leading www., then a leading m. or mobile.; a missing scheme counts as https."""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from vouch import fixed_values as fv
 from vouch.functions import text as tx
+from vouch.functions.text import let
 from vouch.schemas import SIGNAL
 
 SIGNALS = T.ArrayType(SIGNAL)
@@ -188,19 +189,33 @@ def field_signals(fields: DataFrame, lexicon: Lexicon, *, text: str = "text", ki
 
 
 def strongest(signals: Column) -> Column:
-    """One signal per type (the first among equals), strongest first."""
-    ranked = F.transform(signals, lambda s, i: F.struct(
-        (-s["weight"]).alias("w"), i.alias("i"), s.alias("s")))
-    names = F.array_distinct(F.transform(signals, lambda s: s["signal"]))
+    """One signal per type (the first among equals), strongest first; equal weights keep the
+    order in which their types first appeared."""
+    def ranked(names: Column) -> Column:
+        return F.array_sort(F.transform(signals, lambda s, i: F.struct(
+            (-s["weight"]).alias("w"), F.array_position(names, s["signal"]).alias("first"),
+            i.alias("i"), s.alias("s"))))
 
-    def best(name: Column) -> Column:
-        # first appearance decides the order among equal weights, as a dictionary would
-        of_type = F.filter(ranked, lambda r: r["s"]["signal"] == name)
-        return F.struct(F.array_min(F.transform(of_type, lambda r: r["w"])).alias("w"),
-                        of_type[0]["i"].alias("i"), F.array_min(of_type)["s"].alias("s"))
+    def leaders(rows: Column) -> Column:
+        def pick(names: Column) -> Column:
+            kept = F.filter(rows, lambda r, j: F.array_position(names, r["s"]["signal"]) == j + 1)
+            return F.transform(kept, lambda r: r["s"])
 
-    ordered = F.array_sort(F.transform(names, best))
-    return F.transform(ordered, lambda r: r["s"])
+        return let(F.transform(rows, lambda r: r["s"]["signal"]), pick)
+
+    return let(let(F.transform(signals, lambda s: s["signal"]), ranked), leaders)
+
+
+def signal_rows(df: DataFrame, *columns: str, signals: str = "signals") -> DataFrame:
+    """One row per signal: ``columns``, position, signal, weight, snippet, url.
+
+    Explodes with ``posexplode_outer`` on purpose: a plain explode makes the optimizer infer a
+    size test on the array and push it below the detection, which would run every pattern
+    again."""
+    rows = df.select(*columns, F.posexplode_outer(signals).alias("position", "_s"))
+    return rows.where(F.col("_s").isNotNull()).select(
+        *columns, "position", "_s.signal", "_s.weight", "_s.snippet",
+        F.col("_s.url").alias("signal_url"))
 
 
 def has_positive(signals: Column) -> Column:
@@ -211,9 +226,12 @@ def signal_score(signals: Column) -> Column:
     """Noisy-OR over an array of signals that already holds one per type."""
     from vouch.functions.scoring import damped
 
-    positive = F.filter(signals, lambda s: s["signal"] != fv.NEGATIVE_SIGNAL)
-    product = F.aggregate(positive, F.lit(1.0), lambda acc, s: acc * (1 - s["weight"]))
-    return damped(product, F.exists(signals, lambda s: s["signal"] == fv.NEGATIVE_SIGNAL))
+    def fuse(found: Column) -> Column:
+        product = F.aggregate(found, F.lit(1.0), lambda acc, s: acc * F.when(
+            s["signal"] == fv.NEGATIVE_SIGNAL, 1.0).otherwise(1 - s["weight"]))
+        return damped(product, F.exists(found, lambda s: s["signal"] == fv.NEGATIVE_SIGNAL))
+
+    return let(signals, fuse)
 
 
 def hint_filter(text: Column, terms: Iterable[str]) -> Column:
@@ -231,16 +249,19 @@ def match_term_table(fields: DataFrame, terms: DataFrame, *, key: list[str], tex
     Texts and terms become word n-grams and meet in an equi-join, so the table may be large
     and neither side is collected. The term side is one row per distinct term.
     """
-    words = F.filter(F.split(tx.fold(text), rf"(?U)[^\p{{L}}\p{{N}}]+"), lambda x: x != "")
+    # other punctuation separates: a token of its own that no term can hold
+    marked = F.regexp_replace(tx.fold(text), r"[^\p{L}\p{N}_\s\p{Z}-]+", " \u0001 ")
+    words = F.filter(F.split(marked, r"[\s\p{Z}-]+"), lambda x: x != "")
     df = fields.select(*key, words.alias("_w")).where(F.size("_w") > 0)
     grams = F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(max_words)),
         lambda n: F.when(F.size("_w") >= n, F.transform(
             F.sequence(F.lit(1), F.size("_w") - n + 1),
-            lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))
+            lambda i: F.translate(F.array_join(F.slice(F.col("_w"), i, n), " "), "_", " "))
         ).otherwise(F.array().cast("array<string>"))))
-    df = df.select(*key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    df = df.select(*key, F.explode(F.array_distinct(grams)).alias("_gram")).where(
+        ~F.col("_gram").contains("\u0001"))
     table = terms.select("list", "term", F.array_join(
-        F.filter(F.split(tx.fold("term"), r"(?U)[^\p{L}\p{N}]+"), lambda x: x != ""), " "
+        F.filter(F.split(tx.fold("term"), r"[\s\p{Z}_-]+"), lambda x: x != ""), " "
     ).alias("_gram")).dropDuplicates(["list", "_gram"])
     return df.join(table, "_gram").select(*key, "list", "term")
