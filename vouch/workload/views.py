@@ -187,7 +187,7 @@ def query(name: str, sql: str | None = None, views: str = "", extra: str = ""):
         QUERIES[name] = run
         if sql is not None:
             head = ",\n".join(x for x in (ctes(*views.split()), extra.strip().rstrip(",")) if x)
-            ORACLES[name] = (f"WITH {head}\n" if head else "") + sql.strip()
+            ORACLES[name] = (f"WITH RECURSIVE {head}\n" if head else "") + sql.strip()
         return fn
 
     return register
