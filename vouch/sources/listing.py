@@ -106,16 +106,19 @@ def detect(listings: DataFrame, lexicon: sg.Lexicon, *, key: list[str] | None =
     df = listings.withColumn("signals", own)
     if not all_rows:
         df = df.where(maybe)
-    fields = df.select(*key, *([country] if country else []), F.posexplode_outer("texts").alias(
-        "_i", "_t")).select(*key, *([country] if country else []), "_i", "_t.kind", "_t.text",
-                            "_t.url")
-    found = sg.field_signals(fields.where(F.col("text").isNotNull()), lexicon, country=country,
-                             out="_found")
-    # the fields of one listing: as many rows as it has names and descriptions
-    per = found.groupBy(*key).agg(F.array_sort(F.collect_list(
-        F.struct("_i", "_found"))).alias("_lists"))
-    joined = df.join(per, key, "left")
-    flat = F.flatten(F.transform(F.coalesce("_lists", F.array().cast(
-        f"array<struct<_i:int,_found:{sg.SIGNALS.simpleString()}>>")), lambda x: x["_found"]))
-    out = joined.withColumn("signals", sg.strongest(F.concat("signals", flat))).drop("_lists")
+    rest = [c for c in df.columns if c not in (*key, country)]
+    fields = df.select(*key, *([country] if country else []), F.struct(*rest).alias("_listing"),
+                       F.posexplode_outer("texts").alias("_i", "_t")).select(
+        *key, *([country] if country else []), "_listing", "_i", "_t.kind", "_t.text", "_t.url")
+    found = sg.field_signals(fields, lexicon, country=country, out="_found")
+    # back to one row per listing: as many rows as it has names and descriptions
+    per = found.groupBy(*key).agg(
+        *([F.first(country).alias(country)] if country else []),
+        F.first("_listing").alias("_listing"),
+        F.array_sort(F.collect_list(F.struct("_i", "_found"))).alias("_lists"))
+    flat = F.flatten(F.transform("_lists", lambda x: x["_found"]))
+    out = per.select(*key, *([country] if country else []), "_listing.*",
+                     flat.alias("_found")).withColumn(
+        "signals", sg.strongest(F.concat("signals", "_found"))).drop("_found")
+    out = out.select(*listings.columns)
     return out if all_rows else out.where(sg.has_positive(F.col("signals")))

@@ -381,6 +381,28 @@ def _(t):
     return found.join(t("city").select("city_id", "slug"), "city_id").select("external_id", "slug")
 
 
+@query("pl_2_scan_to_score", """
+SELECT label, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT p_name AS name,
+  CASE WHEN w >= 0.75 THEN 'high' WHEN w >= 0.45 THEN 'medium' WHEN w >= 0.25 THEN 'low' END AS label
+  FROM lineitem JOIN (SELECT p_partkey, p_name, CASE WHEN p_name LIKE '% gear' THEN 0.6
+    WHEN p_name LIKE '% widget' THEN 0.3 END AS w FROM part) p ON p_partkey = l_partkey) t
+WHERE label IS NOT NULL GROUP BY 1""")
+def _(t):
+    # one listing per line: scan, detect, fuse, label
+    lines = t("lineitem").select(
+        "l_partkey", F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"),
+                                 text("l_suppkey"), text("l_extendedprice")).alias("key"))
+    rows = lines.join(t("part").select(F.col("p_partkey").alias("l_partkey"),
+                                       F.col("p_name").alias("name")), "l_partkey")
+    df = ls.make(rows, source_id=F.lit("lines"), external_id="key", name="name",
+                 texts=ls.texts(ls.text_field("name", F.col("name"), F.lit(None).cast("string"))))
+    rows = sg.signal_rows(ls.detect(df, LEX), "external_id", "name")
+    scored = noisy_or(rows, ["external_id", "name"])
+    out = scored.withColumn("label", confidence_label("score")).where("label IS NOT NULL")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                    F.count_distinct("name").alias("names"))
+
+
 @query("pl_2_build_index")
 def _(t):
     # the whole batch job; tests check it against worked scenarios
