@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vouch import fixed_values as fv
 from vouch.functions.geo import distance_m
+from vouch.operators.lineage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -39,20 +40,31 @@ def first_record_per_source(records: DataFrame, links: DataFrame,
         "business_id", "source", "url")
 
 
-def ordered_evidence(evidence: DataFrame, order: list[str]) -> DataFrame:
-    """Evidence as one array per entity, by weight descending, then ``order``. An entity with
-    unusually much evidence is bounded by distinct (record, signal) pairs."""
-    ranked = F.struct((-F.col("weight")).alias("w"), *order, "signal", "weight")
-    lists = evidence.groupBy("business_id").agg(F.array_sort(F.collect_list(ranked)).alias("e"))
-    return lists.select("business_id", F.transform(
-        "e", lambda x: F.struct(x["signal"].alias("signal"), x["weight"].alias("weight")))
-        .alias("evidence"))
+def ranked(df: DataFrame, keys: list[str], order: list[Column | str],
+           partitions: int | None = None) -> DataFrame:
+    """Add ``position`` (1, 2, ...) per key in ``order`` without sorting a key in one task.
+
+    Rows are range-partitioned on key and order, so a key with very many rows spreads over
+    several partitions; numbering inside a partition plus the row counts of the key in the
+    partitions before gives the position. The numbered rows are checkpointed, because they
+    are read twice and must not be numbered again after a failure."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cut(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                  .withColumn("_id", F.monotonically_increasing_id()))
+    sorted_ = sorted_.withColumn("_part", F.shiftright("_id", 33))
+    chunks = sorted_.groupBy(*keys, "_part").agg(F.min("_id").alias("_lo"),
+                                                 F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    out = sorted_.join(chunks, [*keys, "_part"])
+    return out.withColumn("position", F.col("_id") - F.col("_lo") + 1 + F.col("_before")).drop(
+        "_id", "_part", "_lo", "_n", "_before")
 
 
 def evidence_rank(evidence: DataFrame, order: list[str]) -> DataFrame:
-    """Evidence rows with their position inside the entity's card."""
-    w = Window.partitionBy("business_id").orderBy(F.desc("weight"), *order)
-    return evidence.withColumn("position", F.row_number().over(w))
+    """Evidence rows with their position inside the entity's card, strongest first."""
+    return ranked(evidence, ["business_id"], [F.desc("weight"), *order])
 
 
 def survivorship(records: DataFrame, key: str, fields: list[str], order: list[str]) -> DataFrame:

@@ -320,15 +320,11 @@ def _(t):
 
 
 @query("wn_3_evidence_order", """
-SELECT business_id, string_agg(signal || ':' || CAST(ord AS VARCHAR), ' ' ORDER BY weight DESC,
-  ord, signal) AS evidence FROM evidence GROUP BY 1""", "evidence")
-def _(t):
-    df = t("evidence").select("business_id", "weight", "ord",
-                              F.concat_ws(":", "signal", F.col("ord").cast("string"))
-                              .alias("signal"))
-    lists = rk.ordered_evidence(df, ["ord"])
-    return lists.select("business_id", F.array_join(
-        F.transform("evidence", lambda e: e["signal"]), " ").alias("evidence"))
+SELECT business_id, signal, ord, weight, row_number() OVER (PARTITION BY business_id
+  ORDER BY weight DESC, ord, signal) AS position FROM evidence""", "evidence")
+def _(t):
+    return rk.evidence_rank(t("evidence"), ["ord", "signal"]).select(
+        "business_id", "signal", "ord", "weight", "position")
 
 
 @query("wn_5_survivorship", """
