@@ -129,18 +129,23 @@ def geocode_join(rows: DataFrame, gazetteer: DataFrame, *, address: str = "addre
     # one row per query, prefer a located one
     table = gazetteer.groupBy("query").agg(
         F.max(F.when(F.col("lat").isNotNull(), F.struct("lat", "lng"))).alias("p"))
-    df = rows.withColumn("_street", F.concat_ws(" | ", clean_address(address), cc)).withColumn(
-        "_post", F.concat(postal_code(address), F.lit(" | "), cc))
+    # rows without a code get a key of their own that matches nothing, so that they do not
+    # all meet in one task
+    code = postal_code(address)
+    post = F.coalesce(F.concat(code, F.lit(" | "), cc),
+                      F.concat(F.lit("#"), F.xxhash64(address).cast("string")))
+    df = rows.withColumns({"_street": F.concat_ws(" | ", clean_address(address), cc),
+                           "_post": post, "_coded": code.isNotNull()})
     for q, p in (("_street", "_p1"), ("_post", "_p2")):
         side = table.select(F.col("query").alias(q), F.col("p").alias(p),
                             F.lit(True).alias(p + "k"))
         df = df.join(side, q, "left")
     point = F.coalesce("_p1", "_p2")
     tried = F.coalesce("_p1k", F.lit(False)) & (
-        F.col("_p1").isNotNull() | F.col("_post").isNull() | F.coalesce("_p2k", F.lit(False)))
+        F.col("_p1").isNotNull() | ~F.col("_coded") | F.coalesce("_p2k", F.lit(False)))
     known = point.isNotNull() | tried
     return df.withColumns({"lat": point["lat"], "lng": point["lng"], "geocoded": known}).drop(
-        "_street", "_post", "_p1", "_p2", "_p1k", "_p2k")
+        "_street", "_post", "_coded", "_p1", "_p2", "_p1k", "_p2k")
 
 
 def registry_links(cities: DataFrame, registries: DataFrame, wanted: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from vouch.functions import signals as sg
 from vouch.functions.scoring import confidence_label
 from vouch.operators.evidence import noisy_or
 from vouch.plans import index
-from vouch.sources import directories, places, registries, wiki
+from vouch.sources import dims, directories, places, registries, tables, wiki
 from vouch.sources import listing as ls
 from vouch.workload.life import scratch
 from vouch.workload.views import QUERIES, query, view
@@ -350,6 +350,48 @@ def _(t):
     return ls.listings_of("overture", places.flatten(place_rows(t))).select("external_id")
 
 
+@query("ud_2_lexicons", """
+SELECT k FROM named WHERE regexp_matches(name, '(^|[^a-z])(gear|ring)($|[^a-z])')""", "", NAMED)
+def _(t):
+    # the lexicon is a table: the nouns of two parts
+    nouns = t("part").select(F.substring_index("p_name", " ", -1).alias("term")).distinct().where(
+        F.col("term").isin("gear", "ring")).withColumn("list", F.lit("explicit"))
+    lex = dims.lexicon_from_table(nouns)
+    df = named(t).select("k", F.col("name").alias("text"), F.lit("page").alias("kind"),
+                         F.lit(None).cast("string").alias("url"))
+    return sg.signal_rows(sg.field_signals(df, lex, script=False), "k").select("k")
+
+
+@query("ud_4_category_map", """
+SELECT 'p' || CAST(k AS VARCHAR) AS external_id, CASE WHEN name LIKE 'hot %' THEN 'heating'
+  ELSE 'other' END AS category FROM named WHERE k % 13 <> 0 AND k % 17 <> 0""", "", NAMED)
+def _(t):
+    df = places.places_to_listing(places.flatten(place_rows(t)), maps=({"hot": "heating"}, {}))
+    return df.select("external_id", "category")
+
+
+@query("ud_5_noisy_or_udaf", """
+SELECT segment, nation, CAST(round(CAST(1 - product(1 - w) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score
+FROM (SELECT segment, nation, name, max(k % 10) / 100e0 AS w FROM named GROUP BY 1, 2, 3) t
+GROUP BY 1, 2""", "", NAMED)
+def _(t):
+    rows = named(t).select("segment", "nation", F.col("name").alias("signal"),
+                           ((F.col("k") % 10) / 100).alias("weight"))
+    return noisy_or(rows, ["segment", "nation"])
+
+
+@snapshot("ud_6_udtf", "SELECT doc_id, 'eat' AS kind, 'Place ' || CAST(doc_id AS VARCHAR) AS name "
+          "FROM documents UNION ALL SELECT doc_id, 'see', lang FROM documents")
+def _(spark, t):
+    key = text("doc_id")
+    pages = t("documents").select("doc_id", F.concat(
+        F.lit("x {{eat|name=Place "), key, F.lit("|a={{b|c}}}} {{listing|type=see|name="), "lang",
+        F.lit("}} {{other|y}}")).alias("wikitext"))
+    tables.register(spark)
+    return spark.sql("SELECT p.doc_id, l.kind, l.params['name'] AS name FROM {pages} p, "
+                     "LATERAL wiki_templates(p.wikitext) l", pages=pages)
+
+
 @query("ud_3_weights", """
 SELECT name, CASE WHEN w >= 0.75 THEN 'high' WHEN w >= 0.45 THEN 'medium' WHEN w >= 0.25 THEN 'low'
   END AS label, count(*) AS n FROM (SELECT name, CASE WHEN name LIKE '%gear' THEN 0.9
