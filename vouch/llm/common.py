@@ -101,5 +101,5 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     for c in group:
         on &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     kept = [F.col(f"l.{c}").alias(c) for c in summed.columns if c not in ("_part", "_inside")]
-    return left.join(F.broadcast(right), on).select(
+    return left.join(right, on).select(
         *kept, (F.col("l._inside") + F.col("r._before")).alias(out))
