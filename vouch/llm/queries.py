@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from vouch.llm.media import op3_media_columns
 from vouch.llm.mixing import OP8_SQL, op8_systematic_mix
+from vouch.llm.pii import op2_personal_data
 from vouch.llm.simhash import op9_ball_hashing
 from vouch.llm.toxicity import op6_toxicity_cnn
 from vouch.llm.url_rules import OP10_SQL, op10_url_rules
 
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op6_toxicity_cnn": op6_toxicity_cnn,
     "op8_systematic_mix": op8_systematic_mix,
