@@ -8,10 +8,12 @@ from vouch.llm.pii import op2_personal_data
 from vouch.llm.simhash import op9_ball_hashing
 from vouch.llm.toxicity import op6_toxicity_cnn
 from vouch.llm.url_rules import OP10_SQL, op10_url_rules
+from vouch.llm.vectors import op5_pca_tiles
 
 QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
+    "op5_pca_tiles": op5_pca_tiles,
     "op6_toxicity_cnn": op6_toxicity_cnn,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ball_hashing": op9_ball_hashing,
