@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vouch.llm.lm import op1_bloom_lm
 from vouch.llm.media import op3_media_columns
 from vouch.llm.mixing import OP8_SQL, op8_systematic_mix
 from vouch.llm.pii import op2_personal_data
@@ -11,6 +12,7 @@ from vouch.llm.url_rules import OP10_SQL, op10_url_rules
 from vouch.llm.vectors import op5_pca_tiles
 
 QUERIES = {
+    "op1_bloom_lm": op1_bloom_lm,
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op5_pca_tiles": op5_pca_tiles,
