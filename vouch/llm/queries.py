@@ -5,6 +5,7 @@ from __future__ import annotations
 from vouch.llm.lm import op1_bloom_lm
 from vouch.llm.media import op3_media_columns
 from vouch.llm.mixing import OP8_SQL, op8_systematic_mix
+from vouch.llm.pieces import op7_max_plus_pieces
 from vouch.llm.pii import op2_personal_data
 from vouch.llm.simhash import op9_ball_hashing
 from vouch.llm.toxicity import op6_toxicity_cnn
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op5_pca_tiles": op5_pca_tiles,
     "op6_toxicity_cnn": op6_toxicity_cnn,
+    "op7_max_plus_pieces": op7_max_plus_pieces,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ball_hashing": op9_ball_hashing,
     "op10_url_rules": op10_url_rules,
