@@ -7,6 +7,7 @@ from vouch.llm.media import op3_media_columns
 from vouch.llm.mixing import OP8_SQL, op8_systematic_mix
 from vouch.llm.pieces import op7_max_plus_pieces
 from vouch.llm.pii import op2_personal_data
+from vouch.llm.repeats import op4_run_index
 from vouch.llm.simhash import op9_ball_hashing
 from vouch.llm.toxicity import op6_toxicity_cnn
 from vouch.llm.url_rules import OP10_SQL, op10_url_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
+    "op4_run_index": op4_run_index,
     "op5_pca_tiles": op5_pca_tiles,
     "op6_toxicity_cnn": op6_toxicity_cnn,
     "op7_max_plus_pieces": op7_max_plus_pieces,
