@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines see.
+
+    Where none is configured, a session whose executors are threads of the driver gets a temporary
+    folder; on a cluster that would be a folder of one machine, so it is refused.
+    """
+    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-ckpt-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder in ``spark.checkpoint.dir``. A temporary folder is
-    used only where no folder is configured, as in a local test session."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    """Checkpoint to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
