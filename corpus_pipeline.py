@@ -5,16 +5,18 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vouch.llm import mixing, pieces, pii, simhash, toxicity
-from vouch.llm.common import read
+from vouch.llm.common import prefixed, read
 from vouch.operators.lineage import shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier flags by their language's threshold go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("NOT flagged").select(*docs.columns)
+    scored = toxicity.score(prefixed(docs), model, "k_text", "k_lang")
+    return scored.where("NOT flagged").select(*[F.col(f"`k_{c}`").alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

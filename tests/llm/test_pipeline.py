@@ -125,3 +125,16 @@ def test_mixing_targets_and_copies(spark, tmp_path):
         assert all(r.taken <= 2 * r.size for r in own)
     assert mixing.taken(docs.where("false")).count() == 0
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
+    rows, labels = fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clash = docs.select("*", *[F.lit(n).alias(n) for n in (
+        "score", "flagged", "spans", "redacted", "fp", "root", "size", "copies", "held_out")])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, clash, str(tmp_path))
+        assert out.columns[:len(clash.columns)] == clash.columns
+        row = out.first()
+        assert row["score"] == "score" and row["fp"] == "fp" and row["size"] == "size"
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0

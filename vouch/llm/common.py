@@ -22,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def prefixed(docs: DataFrame) -> DataFrame:
+    """All columns as ``k_<name>``, so that none clashes with what an operator adds."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns])
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES,
                 ) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Consecutive parts of ``batch`` of about ``most`` bytes of text, with the text column

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import read, text_slices
+from vouch.llm.common import prefixed, read, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the chain: outside, then first and later tokens of each kind.
@@ -424,12 +424,12 @@ def personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None =
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with the personal data replaced; ``n_chars`` follows the text. A
     null text stays null."""
-    others = [c for c in docs.columns if c not in (text, "n_chars")]
-    found = personal_data(docs.select(*others, text, F.col(text).isNull().alias("_null")), text,
-                          [*others, "_null"])
+    inner = prefixed(docs).withColumn("_null", F.col(f"k_{text}").isNull())
+    found = personal_data(inner, f"k_{text}", [c for c in inner.columns
+                                               if c not in (f"k_{text}", "k_n_chars")])
     new = F.when(~F.col("_null"), F.col("redacted"))
     made = {text: new, "n_chars": F.char_length(new).cast("long")}
-    return found.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[made.get(c, F.col(f"`k_{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import read, text_slices, words_of
+from vouch.llm.common import prefixed, read, text_slices, words_of
 from vouch.llm.components import components
+from vouch.llm.mixing import row_hashes
 from vouch.operators.lineage import cut
 
 #: Words of a shingle, seed of its hash, differing bits that still link.
@@ -203,10 +204,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without all but one document of each class: the one of
     the smallest doc_id (nulls last), then of the smallest hash of the row."""
-    from vouch.llm.mixing import row_hashes
-
-    printed = fingerprints(docs.select("*", *row_hashes(docs)), text)
-    slim = cut(printed.select("fp", F.col(doc_id).alias("_id"), "_row1", "_row2"))
+    hashed = prefixed(docs.select("*", *row_hashes(docs)))
+    slim = cut(fingerprints(hashed, f"k_{text}", [f"k_{doc_id}", "k__row1", "k__row2"]).toDF(
+        "_id", "_row1", "_row2", "fp"))
     roots = classes(slim)
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row1", "_row2"))
     least = slim.groupBy("fp").agg(first.alias("_first"))
