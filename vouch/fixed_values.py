@@ -55,7 +55,6 @@ EARTH_RADIUS_METERS = 6371008.8
 SNIPPET_CONTEXT = 60
 SNIPPET_MAX = 200
 SHORT_SCRIPT_TEXT = 15
-PAGE_TEXT_CHARS = 20_000
 PAGE_MIN_LETTERS = 100
 PAGE_MIN_RATIO = 0.3
 CHANNEL_MIN_LETTERS = 12

@@ -108,11 +108,12 @@ def public_links(links: ColumnOrName) -> Column:
 
 
 def phone_e164(number: ColumnOrName, country: ColumnOrName) -> Column:
-    """E.164 for the countries of the built-in numbering plans, else null.
+    """E.164, or null where the text is no possible number.
 
-    Covers plain national and international writing with the usual separators; it is a
-    subset of a full numbering library (no letters, no extensions). The number is first
-    written as +code national, then one pattern per plan checks the national length."""
+    Covers plain national writing for the countries of the built-in numbering plans, and
+    international writing for all countries, with the usual separators (no letters, no
+    extensions). The number is first written as +code national; one pattern per plan then checks
+    the national length. Under calling codes without a plan, 7 to 15 digits are kept."""
     def plan_of(part: int) -> Column:
         pairs = [F.lit(x) for cc, plan in fv.PHONE_PLANS.items() for x in (cc, plan[part])]
         return F.try_element_at(F.create_map(*pairs), F.upper(col(country)))
@@ -133,7 +134,10 @@ def phone_e164(number: ColumnOrName, country: ColumnOrName) -> Column:
         lengths.setdefault(code, set()).update(allowed)
     shapes = "|".join(rf"{code}(?:" + "|".join(rf"\d{{{n}}}" for n in sorted(ns)) + ")"
                       for code, ns in lengths.items())
-    return let(plain, lambda p: F.when(p.rlike(rf"^(?:{shapes})$"), F.concat(F.lit("+"), p)))
+    other = raw.startswith("+") & ~digits.rlike(rf"^(?:{codes})")
+    return let(plain, lambda p: F.when(
+        p.rlike(rf"^(?:{shapes})$") | (other & p.rlike(r"^[1-9]\d{6,14}$")),
+        F.concat(F.lit("+"), p)))
 
 
 def phone_link(number: ColumnOrName, country: ColumnOrName) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vouch import fixed_values as fv
 from vouch.functions.scoring import confidence_label, settle, wilson
 from vouch.operators.evidence import noisy_or
+from vouch.operators.ranking import ranked
 
 
 def category_counts(shown: DataFrame, categories: DataFrame) -> DataFrame:
@@ -277,8 +278,8 @@ def monthly_quota(requests: DataFrame, caps: DataFrame, *, order: list[str],
 
     ``requests``: source_id, ts; every request costs one, a refused one uses nothing. ``caps``:
     source_id, monthly_cap (null or absent: unlimited). Rows of uncapped sources skip the
-    ordering, and the rank inside a month is built from day subtotals, so one source with
-    most of the rows is still ordered day by day and not in a single task.
+    ordering, and the rank inside a month is built from day subtotals; days are numbered over
+    range partitions, so no source or day is sorted in a single task.
     """
     period, day = F.date_format(ts, "yyyy-MM"), F.to_date(ts)
     df = requests.withColumn("period", period).withColumn("_day", day).join(
@@ -291,12 +292,10 @@ def monthly_quota(requests: DataFrame, caps: DataFrame, *, order: list[str],
         Window.unboundedPreceding, -1))
     offsets = per_day.select("source_id", "period", "_day",
                              F.coalesce(before, F.lit(0)).alias("_before"))
-    in_day = Window.partitionBy("source_id", "period", "_day").orderBy(*order)
-    ranked = capped.withColumn("_i", F.row_number().over(in_day)).join(
+    placed = ranked(capped, ["source_id", "period", "_day"], order).join(
         offsets, ["source_id", "period", "_day"])
-    used = F.col("_before") + F.col("_i")
-    counted = ranked.withColumn("used", used).withColumn(
-        "admitted", F.col("used") <= F.col("monthly_cap")).drop("_i", "_before")
+    counted = placed.withColumn("used", F.col("_before") + F.col("position")).withColumn(
+        "admitted", F.col("used") <= F.col("monthly_cap")).drop("position", "_before")
     return free.unionByName(counted).drop("_day")
 
 

@@ -97,26 +97,24 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], n:
 
 
 def slug_dedupe(cities: DataFrame, taken: DataFrame) -> DataFrame:
-    """Give every new city a unique slug: slug, else slug-cc, else slug-osmid.
+    """Give every new city a unique slug: slug, else slug-cc, else slug-cc-osmid.
 
     ``cities``: slug, country_code, osm_id; ``taken``: slug. Among new cities the first by
-    osm_id gets the plain slug, as if they were added one by one in that order."""
+    osm_id gets the plain slug, as if they were added one by one in that order. Numbering goes
+    through ``ranked``, because names that fold to nothing all share one slug."""
     used = taken.select("slug", F.lit(True).alias("_used")).distinct()
     cc = F.concat_ws("-", "slug", F.lower("country_code"))
-    full = F.concat_ws("-", "slug", F.lower("osm_id"))
-    w = Window.partitionBy("slug").orderBy("osm_id")
-    df = cities.join(used, "slug", "left").withColumn("_rn", F.row_number().over(w))
-    plain = F.col("_used").isNull() & (F.col("_rn") == 1)
+    df = ranked(cities, ["slug"], ["osm_id"]).join(used, "slug", "left")
+    plain = F.col("_used").isNull() & (F.col("position") == 1)
     df = df.withColumn("_base", F.col("slug")).withColumn(
         "slug", F.when(plain, F.col("slug")).otherwise(cc)).withColumn("_plain", plain)
     # a suffixed slug can meet another one, a plain one, or one already taken
-    clash = Window.partitionBy("slug").orderBy(F.desc("_plain"), "osm_id")
-    df = df.drop("_used", "_rn").join(used, "slug", "left").withColumn(
-        "_rn", F.row_number().over(clash))
-    again = ~F.col("_plain") & (F.col("_used").isNotNull() | (F.col("_rn") > 1))
+    df = ranked(df.drop("_used", "position"), ["slug"], [F.desc("_plain"), "osm_id"]).join(
+        used, "slug", "left")
+    again = ~F.col("_plain") & (F.col("_used").isNotNull() | (F.col("position") > 1))
     df = df.withColumn("slug", F.when(again, F.concat_ws(
         "-", "slug", F.lower("osm_id"))).otherwise(F.col("slug")))
-    return df.drop("_used", "_rn", "_base", "_plain")
+    return df.drop("_used", "position", "_base", "_plain")
 
 
 def search_page(results: DataFrame, sort: str, page: int, page_size: int, *,

@@ -74,6 +74,16 @@ def assign_city(listings: DataFrame, cities: DataFrame) -> DataFrame:
     return given.unionByName(boxed)
 
 
+def _last_of_key(listings: DataFrame) -> DataFrame:
+    """One listing per key: of several, the one with the greatest hash of all its columns. A
+    snapshot has no order of its rows, so this stands for "a later row replaces an earlier one"
+    and gives the same listing in every run."""
+    every = F.xxhash64(F.to_json(F.struct(*listings.columns)))
+    best = listings.withColumn("_h", every)
+    last = best.groupBy(*KEY).agg(F.max("_h").alias("_h"))
+    return best.join(last, [*KEY, "_h"], "left_semi").drop("_h").dropDuplicates(KEY)
+
+
 def merge_listings(tables: Tables, listings: DataFrame, block_list: DataFrame,
                    lexicon: Lexicon, at: str, *,
                    order: tuple[str, ...] = fv.SOURCE_ORDER) -> tuple[Tables, DataFrame]:
@@ -188,7 +198,7 @@ def build_index(sources: Mapping[str, Callable[[], DataFrame] | DataFrame], tabl
     error_rows = spark.createDataFrame(list(errors.items()) or [], "source_id string, error string")
     empty = spark.createDataFrame([], schemas.LISTING)
     merged = upsert.merge_sources(empty, *frames)
-    placed = cut(assign_city(merged.dropDuplicates(KEY), cities))
+    placed = cut(assign_city(_last_of_key(merged), cities))
     out, seen = merge_listings(tables, placed, block_list, lexicon, at, order=order)
     seen = cut(seen)
     out, missing = prune_missing(out.settle(), seen, list(errors))

@@ -5,7 +5,8 @@ The rules are: the same record was seen before; else a shared link within 1 km;
 of sources and ids) these rules make the result depend on what came before. The same result
 is reached here in rounds over all listings at once: match the open listings to the entities
 known so far; of the rest, those that no earlier open listing could attract become new
-entities; repeat until no listing is open. A typical run needs two or three rounds.
+entities; repeat until no listing is open. A typical run needs two or three rounds; a line of
+neighbours in the order of their ids needs as many rounds as half its length.
 """
 
 from __future__ import annotations
@@ -57,8 +58,7 @@ def _leaders(pending: DataFrame) -> DataFrame:
 
 
 def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFrame,
-                     entity_links: DataFrame, *, order: tuple[str, ...] = fv.SOURCE_ORDER,
-                     max_rounds: int = 50) -> DataFrame:
+                     entity_links: DataFrame, *, order: tuple[str, ...] = fv.SOURCE_ORDER) -> DataFrame:
     """(key, business_id, stage): stage is record, link, name or new.
 
     ``listings``: source_id, external_id, city_id, name, lat, lng, links, one row per key.
@@ -79,7 +79,7 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
         _link_rows(todo.join(known, KEY))).distinct()
     base = cut(with_name_keys(_entity_columns(entities), ("name_latin", "name_fa")))
     some = not base.isEmpty()
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the first open listing
         pending = open_
         joined = None
         if some:
@@ -103,7 +103,6 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
         held_links = cut(held_links.unionByName(_link_rows(members)).distinct())
         base = cut(_merge_fields(base, members))
         open_, some = left, True
-    raise RuntimeError(f"resolution did not settle in {max_rounds} rounds")
 
 
 def _link_rows(members: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def _heading_entries(df: DataFrame) -> DataFrame:
         F.coalesce("og_description", F.lit("")).alias("description"),
         number(F.regexp_extract(spot, at, 1)).alias("lat"),
         number(F.regexp_extract(spot, at, 2)).alias("lng"),
-        F.substring(phone, 5, 100).alias("phone"), F.col("_out").alias("links"),
+        F.substr(phone, F.lit(5)).alias("phone"), F.col("_out").alias("links"),
         F.lit("").alias("kind"))
 
 

@@ -37,16 +37,18 @@ def _content_signal(name: str, weights, when: Column, snippet: Column) -> Column
     return F.when(when, hit)
 
 
-def page_evidence(pages: DataFrame, lexicon: sg.Lexicon, country: str | None = None) -> DataFrame:
+def page_evidence(pages: DataFrame, lexicon: sg.Lexicon, country: str | None = None,
+                  text_chars: int | None = None) -> DataFrame:
     """Per page (columns of ``pages`` without html, plus lang, title, signals, links).
 
     The content signal needs Persian script in the page and either a Persian lang attribute
-    or enough Persian letters. Keywords come from the head and from the first part of the
-    text that the rule defines (PAGE_TEXT_CHARS).
+    or enough Persian letters. Keywords come from the head and from the whole text, or from its
+    first ``text_chars`` characters.
     """
     keep = [c for c in pages.columns if c != "html"]
     df = read_pages(pages)
-    df = df.withColumn("_body", F.substring("text", 1, fv.PAGE_TEXT_CHARS))
+    df = df.withColumn("_body", F.col("text") if text_chars is None
+                       else F.substring("text", 1, text_chars))
     df = df.withColumn("_all", _joined("title", "description", "_body"))
     df = df.withColumn("_stable", tx.nfkc("_all"))
     arabic, ratio = tx.letter_counts("_stable")

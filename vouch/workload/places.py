@@ -213,13 +213,7 @@ def _(t):
         F.when(F.col("c_nationkey") % 2 == 0, "DE").otherwise("FR").alias("country_code"))
     taken = t("customer").where(F.col("c_mktsegment") == "BUILDING").select(
         F.lower("c_mktsegment").alias("slug")).distinct()
-    # the full form keeps the country part in this workload's slugs
-    out = rk.slug_dedupe(rows, taken).withColumn("cc", F.lower("country_code"))
-    clashed = F.col("slug").endswith(F.col("osm_id")) & ~F.col("slug").contains(
-        F.concat(F.lit("-"), "cc", F.lit("-")))
-    return out.select("osm_id", F.when(clashed, F.concat(
-        F.substring_index("slug", "-", 1), F.lit("-"), "cc", F.lit("-"), "osm_id"))
-        .otherwise(F.col("slug")).alias("slug"))
+    return rk.slug_dedupe(rows, taken).select("osm_id", "slug")
 
 
 GAZ = """

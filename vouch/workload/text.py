@@ -495,7 +495,7 @@ SELECT page_id, 'explicit_keyword' AS signal FROM page_norm WHERE {has(["thin",
 UNION ALL SELECT page_id, 'iranian_place_name' FROM page_norm WHERE {has(["hand", "esta"])}
 UNION ALL SELECT page_id, 'negative_keyword' FROM page_norm WHERE {has(["ering"], "head")}""", "",
        PAGE_TEXT + """,
-page_norm AS (SELECT page_id, lower(title || chr(10) || substr(body, 1, 20000)) AS norm,
+page_norm AS (SELECT page_id, lower(title || chr(10) || body) AS norm,
   lower(title) AS head FROM texts)""")
 def _(t):
     from vouch.sources.pages import page_evidence
