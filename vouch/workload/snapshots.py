@@ -75,7 +75,7 @@ def snapshot(name: str, sql: str | None):
 def write_releases(spark: SparkSession, t) -> str:
     root = scratch(spark) + "/places"
     rows = place_rows(t)
-    for release in ("2026-08-19.0", "2026-09-23.0", "2026-09-23.1"):
+    for release in ("2031-01-07.0", "2031-02-11.0", "2031-02-11.1"):
         keep = rows if release.endswith(".1") else rows.where(F.col("id").endswith("1"))
         keep.withColumn("release", F.lit(release)).write.mode("append").partitionBy(
             "release").parquet(root)
@@ -87,11 +87,11 @@ SELECT 'p' || CAST(k AS VARCHAR) AS id, -100e0 + k % 40 AS lng FROM named
 WHERE k % 40 BETWEEN 11 AND 19""")
 def _(spark, t):
     box = (-90.0, 40.0, -80.0, 50.0)
-    df = places.places_scan(spark, write_releases(spark, t), box, "2026-09-23.1")
+    df = places.places_scan(spark, write_releases(spark, t), box, "2031-02-11.1")
     return df.select("id", ((F.col("xmin") + F.col("xmax")) / 2).alias("lng"))
 
 
-@snapshot("sc_2_latest_release", "SELECT '2026-09-23.1' AS release, count(*) AS places FROM named")
+@snapshot("sc_2_latest_release", "SELECT '2031-02-11.1' AS release, count(*) AS places FROM named")
 def _(spark, t):
     root = write_releases(spark, t)
     newest = places.newest_release(spark.read.parquet(root))
