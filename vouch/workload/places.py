@@ -268,14 +268,11 @@ def _(t):
 
 
 @query("fn_26_slugify", r"""
-SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(strip_accents(nfc_normalize(text))),
-  '[^a-z0-9]+', '-', 'g'), '-'), ''), 'city') AS slug FROM documents
-WHERE NOT regexp_matches(nfc_normalize(strip_accents(text)), '[^\x00-\x7F]')""")
-def _(t):
-    # rows whose letters all decompose to ASCII, where the check can drop accents the same way
-    plain = tx.ascii_fold("text")
-    df = t("documents").withColumn("_p", plain).where(F.length("_p") == F.length("text"))
-    return df.select("doc_id", tx.slugify("text").alias("slug"))
+SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(
+  strip_accents(nfc_normalize(text)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''),
+  'city') AS slug FROM documents""")
+def _(t):
+    return t("documents").select("doc_id", tx.slugify("text").alias("slug"))
 
 
 @query("fn_27_region_code", "SELECT osm_id, CAST(c_nationkey AS VARCHAR) AS region FROM gaz", "",

@@ -205,9 +205,9 @@ def _(t):
 
 
 def boxes(t, country: str) -> DataFrame:
-    """Two city boxes derived from nations; each reads the registry of one region."""
+    """A city box for each nation; each reads the registry of one region."""
     n = F.col("n_nationkey")
-    return t("nation").where(n < 2).select(
+    return t("nation").select(
         F.lit(country).alias("country_code"), F.lit(-80.0).alias("west"), F.lit(-79.0).alias("east"),
         (43.0 + n * 0.5).alias("south"), (43.35 + n * 0.5).alias("north"),
         F.array(F.concat(F.lit("S"), text(n))).alias("regions"))
@@ -256,7 +256,8 @@ def _(t):
 SELECT CAST(k AS VARCHAR) || s AS external_id, name, CASE s WHEN 'a' THEN 'restaurant'
   ELSE 'doctor/dentist' END AS category FROM named CROSS JOIN (VALUES ('a'), ('b')) AS v(s)
 WHERE k % 6 <> 0 AND nation % 5 <> 0 AND {EVIDENT} AND NOT (s = 'b' AND k % 2 = 0)
-  AND 43.0 + (k % 10) / 10 BETWEEN 43.0 AND 43.35""", "", NAMED)
+  AND (43.0 + (k % 10) / 10 BETWEEN 43.0 AND 43.35 OR 43.0 + (k % 10) / 10 BETWEEN 43.5 AND 43.85)""",
+       "", NAMED)
 def _(t):
     k = F.col("k")
 
@@ -273,22 +274,22 @@ def _(t):
         F.array(site("a", "56.10A", F.lit("A")),
                 site("b", "86.23Z", F.when(k % 2 == 0, "F").otherwise("A")))
         .alias("matching_etablissements"))
-    cities = boxes(t, "FR").where("south < 43.2")
-    df = registries.fr_company_listings(shaped(rows, schemas.FR_COMPANY), cities, LEX)
+    df = registries.fr_company_listings(shaped(rows, schemas.FR_COMPANY), boxes(t, "FR"), LEX)
     return df.select("external_id", "name", "category")
 
 
 @query("sc_12_wikitext_listings", """
 SELECT 'Doc ' || CAST(doc_id AS VARCHAR) || '#Place ' || CAST(doc_id AS VARCHAR) AS external_id,
-  'restaurant' AS category, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content FROM documents
-WHERE NOT regexp_matches(text, '[|{}\\[\\]]|''''') AND doc_id % 3 <> 0""")
+  'restaurant' AS category, trim(regexp_replace(regexp_replace(text, '[|{}\\[\\]]|''''', ' ', 'g'),
+  '\\s+', ' ', 'g')) AS content FROM documents WHERE doc_id % 3 <> 0""")
 def _(t):
     key = text("doc_id")
     body = F.concat(
         F.lit("intro {{Routebox|a=b}} * {{eat| name=Place "), key, F.lit(" | lat="),
         F.when(F.col("doc_id") % 3 == 0, "80").otherwise("43.7"), F.lit(" | long=-79.4\n| content="),
-        F.col("text"), F.lit(" {{price|$$}} }} {{unclosed "))
-    pages = t("documents").where(~F.col("text").rlike(r"[|{}\[\]]|''")).select(
+        # signs of markup in the prose would end the parameter early
+        F.regexp_replace("text", r"[|{}\[\]]|''", " "), F.lit(" {{price|$$}} }} {{unclosed "))
+    pages = t("documents").select(
         F.concat(F.lit("Doc "), key).alias("title"), body.alias("wikitext"),
         F.lit(-80.0).alias("west"), F.lit(43.0).alias("south"), F.lit(-79.0).alias("east"),
         F.lit(44.0).alias("north"))

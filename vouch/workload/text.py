@@ -282,14 +282,14 @@ def _(t):
 
 
 @query("fn_28_wiki_plain", r"""
-SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM documents
-WHERE NOT regexp_matches(text, '\[\[|\{\{|''''')""")
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '\[\[(?:[^|\]]*\|)?([^\]]*)\]\]', '\1', 'g'), '\{\{[^{}]*\}\}', '', 'g'),
+  '''{2,}', '', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""")
 def _(t):
     # the text wrapped in link and emphasis markup, which must disappear again
     text = F.regexp_replace("text", r"^(\S+)", "[[target|$1]] ''")
     plain = tx.wiki_plain(F.regexp_replace(text, "''", "''{{price}}''"))
-    return t("documents").where(~F.col("text").rlike(r"\[\[|\{\{|''")).select(
-        "doc_id", plain.alias("plain"))
+    return t("documents").select("doc_id", plain.alias("plain"))
 
 
 @query("sc_16_lexicon_tables", """

@@ -44,7 +44,7 @@ FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'overture' WHEN 1 THEN 'osm' ELSE 'w
     CAST(c_nationkey AS BIGINT) AS city_id,
     p_name || CASE c_custkey % 5 WHEN 0 THEN ' Restaurant' WHEN 1 THEN ' Inc.' WHEN 2 THEN 's'
       ELSE '' END AS name, lower(c_mktsegment) AS category, c_custkey AS k
-  FROM {{customer}} JOIN {{part}} ON p_partkey = c_custkey % 16) AS t"""),
+  FROM {{customer}} JOIN {{part}} ON p_partkey = c_custkey % 200) AS t"""),
     "listing_link": (("customer",), """
 SELECT CASE c_custkey % 3 WHEN 0 THEN 'overture' WHEN 1 THEN 'osm' ELSE 'wikidata' END
     AS source_id, 'c' || CAST(c_custkey AS STRING) AS external_id, 'website' AS kind,
@@ -61,7 +61,7 @@ SELECT business_id, city_id, name_latin, name_fa, {_SPOT}
 FROM (SELECT 's' || lpad(CAST(s_suppkey AS STRING), 12, '0') AS business_id,
     CAST(s_nationkey AS BIGINT) AS city_id, p_name AS name_latin,
     CAST(NULL AS STRING) AS name_fa, s_suppkey AS k
-  FROM {{supplier}} JOIN {{part}} ON p_partkey = s_suppkey % 16) AS t"""),
+  FROM {{supplier}} JOIN {{part}} ON p_partkey = s_suppkey % 200) AS t"""),
     "entity_link": (("supplier",), """
 SELECT 's' || lpad(CAST(s_suppkey AS STRING), 12, '0') AS business_id, 'website' AS kind,
   'site' || CAST(s_suppkey % 37 AS STRING) || '.example.com' AS value
