@@ -544,10 +544,8 @@ WIDEN = 0.25
 MAX_SPAN = 1.2
 
 # ---- fixed values: addresses and telephone plans (a subset of countries) ------------
-UNIT_PATTERN = (
-    r"(?i)#\s*\S+|\b(?:SUITE|STE|UNIT|APT|FLOOR|FL|RPO|GROUND)\b\.?\s*[\w-]*|^\s*\w+\s*-\s*(?=\d)"
-)
-POSTAL_PATTERN = r"(?i)\b[A-Z]\d[A-Z]\s?\d[A-Z]\d\b|\b\d{5}\b(?=[^\d]*$)"
+# words before the number of a unit in an address
+UNIT_WORDS = ("SUITE", "STE", "UNIT", "APT", "FLOOR", "FL", "RPO", "GROUND")
 # country -> calling code, trunk prefix, international prefix, national number lengths
 PHONE_PLANS = {
     "US": ("1", "1", "011", (7, 10)),

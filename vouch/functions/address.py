@@ -9,17 +9,24 @@ from vouch import fixed_values as fv
 from vouch.functions.text import ColumnOrName, col
 
 
+# "#3", "STE 300" with what follows the word, or "204 -" before the house number
+_UNIT = "|".join((r"#\s*\S+", rf"\b(?:{'|'.join(fv.UNIT_WORDS)})\b\.?\s*[-\w]*",
+                  r"^\s*\w+\s*-\s*(?=\d)"))
+_CANADIAN = r"\b[A-Z][0-9][A-Z]\s?[0-9][A-Z][0-9]\b"
+_AMERICAN = r"\b[0-9]{5}\b(?=[^0-9]*$)"
+
+
 def clean_address(address: ColumnOrName) -> Column:
     """Without unit parts, lone letters and lone short numbers."""
     parts = F.transform(F.split(col(address), ","),
-                        lambda p: F.trim(F.regexp_replace(p, fv.UNIT_PATTERN, ""), F.lit(" ,")))
+                        lambda p: F.trim(F.regexp_replace(p, f"(?i){_UNIT}", ""), F.lit(" ,")))
     kept = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^(?:[\p{L}\p{N}_]|\d+[\p{L}\p{N}_]?)$"))
     return F.array_join(kept, ", ")
 
 
 def postal_code(address: ColumnOrName) -> Column:
     """A Canadian code, or a US code that ends the address; null without one."""
-    return F.nullif(F.regexp_extract(col(address), fv.POSTAL_PATTERN, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(col(address), f"(?i){_CANADIAN}|{_AMERICAN}", 0), F.lit(""))
 
 
 def region_code(address: ColumnOrName, country: ColumnOrName) -> Column:

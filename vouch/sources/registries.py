@@ -19,9 +19,12 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; every column stays text. A byte-order mark is dropped."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; every column stays text. A byte-order mark is dropped.
+
+    Files are split between tasks. ``multi_line`` is for files known to have line breaks inside
+    quotes; each of them is then read by one task."""
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
