@@ -451,7 +451,7 @@ def _(t):
     # the whole batch job; tests check it against worked scenarios
     df = listings(t)
     spark = df.sparkSession
-    block = t("entity_link").where(F.lit(False)).select("kind", "value")
+    block = t("entity_link").where(F.length("value") == 18).select("kind", "value").distinct()
     out = index.build_index({"overture": df}, index.Tables.empty(spark), t("city"), t("country"),
                             block, "2026-01-01 00:00:00", lexicon=LEX)
     return out["tables"].entities.groupBy("city_id", "label").agg(F.count(F.lit(1)).alias("n"))
