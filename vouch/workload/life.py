@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from vouch.operators import analytics as an
 from vouch.operators import ranking as rk
 from vouch.operators import upsert as up
+from vouch.operators.lineage import shared_folder
 from vouch.plans import index, moderation, schedule
 from vouch.streaming import jobs
 from vouch.workload.views import QUERIES, query
@@ -20,8 +20,7 @@ SECRET = "salt"
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder (a local one in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("ag_17_overview_counts", """
