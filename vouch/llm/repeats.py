@@ -16,11 +16,12 @@ from vouch.operators.lineage import cut
 
 #: Length of a match, and of the strings whose smallest hash brings equal windows together.
 LENGTH, GRAM = 400, 128
-#: Different segments under one key up to which they share an index; larger keys are split by
-#: window.
+#: Different segments under one key up to which they share an index; larger keys are split.
 KEY_SEGMENTS = 1024
 #: Text of an index, on average: one bucket of keys.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
+#: Buckets that the windows of keys too large even after the split are dealt to.
+WINDOW_BUCKETS = 256
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
@@ -143,10 +144,12 @@ class RunIndex:
         while True:
             second = np.zeros(n, np.int64)
             second[:max(n - step, 0)] = rank[step:] + 1
-            if 3 * bits + 1 <= 63:  # both ranks and the place fit one number
-                packed = np.sort((rank << (2 * bits + 1)) | (second << bits) | np.arange(n))
-                order = packed & ((1 << bits) - 1)
-                packed >>= bits
+            if 3 * bits + 1 <= 64:  # both ranks and the place fit one number
+                packed = np.sort((rank.astype(np.uint64) << np.uint64(2 * bits + 1))
+                                 | (second.astype(np.uint64) << np.uint64(bits))
+                                 | np.arange(n, dtype=np.uint64))
+                order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+                packed >>= np.uint64(bits)
                 new = packed[1:] != packed[:-1]
             else:
                 order = np.lexsort((second, rank))
@@ -241,10 +244,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
        its key, without its gram twice, repeats none. What is left are keys with several contents.
     3. The text of one run of each content goes to a bucket of keys, where a run-length index of
        all contents marks the matches between and within them.
-    4. Keys with more than ``key_segments`` contents (the edges of a passage that a large part of
-       the documents share) would make an index of unbounded size: their windows are dealt by
-       their own hash and counted instead, which splits the key over all tasks.
+    4. Keys with more than ``key_segments`` contents (large groups of near copies, the edges of a
+       passage that a large part of the documents share) would make an index of unbounded size.
+       Their runs are cut again with a gram almost as long as a window: what differs inside it
+       falls under other keys. Then 2 and 3 apply once more.
+    5. Where even such a key has too many contents, its windows are dealt by their own hash and
+       counted, which splits the key over all tasks.
     """
+    core = length - max((length - gram) // 4, 1)
     runs = cut(_runs(docs, length, gram))
     folded = runs.groupBy("key", "content").agg(
         F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"),
@@ -259,10 +266,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     lists = wanted.groupBy("d1", "d2").agg(
         F.collect_list(F.struct("a", "b", "key", "hot")).alias("parts"))
     found = docs.join(lists, ["d1", "d2"]).select("d1", "d2", "parts", "text")
-    taken = cut(found.mapInArrow(_taker(length), "d1 long, d2 long, a int, key long, hot boolean, "
-                                                 "piece binary"))
-
-    def index(key: tuple, table: pa.Table) -> pa.Table:
+    taken = cut(found.mapInArrow(_taker, "d1 long, d2 long, a int, key long, hot boolean, piece binary"))
+    large = taken.where("hot").select("d1", "d2", "a", "piece")
+    finer = cut(large.mapInArrow(_finer(length, core), "d1 long, d2 long, o int, a int, b int, "
+                                                       "key long, content long, twice boolean"))
+    again = cut(finer.groupBy("key", "content").agg(
+        F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"),
+        F.min(F.struct("d1", "d2", "o", "a", "b")).alias("at")))
+    crowded = again.groupBy("key").agg(F.count(F.lit(1)).alias("contents"),
+                                       F.max("twice").alias("any"))
+    crowded = crowded.where("contents > 1 OR any").select(
+        "key", (F.col("contents") > key_segments).alias("hot"))
+    lists = again.join(crowded, "key").groupBy("at.d1", "at.d2", F.col("at.o").alias("a")).agg(
+        F.collect_list(F.struct("at.a", "at.b", "key", "hot")).alias("parts"))
+    split = cut(large.join(lists, ["d1", "d2", "a"]).select(
+        "d1", "d2", F.explode("parts").alias("p"), (F.col("p.a") - F.col("a")).alias("from"), "piece")
+        .select("d1", "d2", F.col("p.a").alias("a"), "p.key", "p.hot", F.substring(
+            F.col("piece"), F.col("from") + 1, F.col("p.b") - F.col("p.a")).alias("piece")))
+
+    def index(table: pa.Table) -> pa.Table:
         strings = table.column("piece").to_pylist()
         marks = RunIndex(strings).marks(length)
         of = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
@@ -272,17 +294,33 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                          (flat[:, 0] + a).astype(np.int32), (flat[:, 1] + a).astype(np.int32)],
                         names=["d1", "d2", "a", "b"])
 
+    def counted(table: pa.Table) -> pa.Table:
+        hashes, places = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
+                          for c, kind in (("hashes", np.uint64), ("places", PLACE)))
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        rows = places[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        # windows of a text that overlap are one range
+        rows = np.sort(rows, order=("d1", "d2", "a"))
+        near = (rows["d1"][1:] == rows["d1"][:-1]) & (rows["d2"][1:] == rows["d2"][:-1]) \
+            & (rows["a"][1:] - rows["a"][:-1] <= length)
+        first = np.flatnonzero(np.concatenate([[len(rows) > 0], ~near])[:len(rows)])
+        last = np.append(first[1:], len(rows))[:len(first)] - 1
+        return pa.table([rows["d1"][first].copy(), rows["d2"][first].copy(), rows["a"][first].copy(),
+                         rows["a"][last] + np.int32(length)], names=["d1", "d2", "a", "b"])
+
     schema = "d1 long, d2 long, a int, b int"
-    indexed = taken.where("NOT hot").withColumn(
-        "bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(
-        index, schema)
-    # windows of hot keys: d1, d2, place; their hash stands in ``key``
-    windows = taken.where("hot")
-    often = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    window_marks = windows.join(often, "key").select("d1", "d2", "a", (F.col("a") + length).alias("b"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    strings = ["d1", "d2", "a", "piece"]
+    indexed = taken.where("NOT hot").select(bucket, *strings).unionByName(
+        split.where("NOT hot").select(bucket, *strings)).groupBy("bucket").applyInArrow(index, schema)
+    windows = split.where("hot").select(*strings).mapInArrow(
+        _packer(length), "bucket int, hashes binary, places binary").groupBy("bucket").applyInArrow(counted, schema)
     copied = folded.where("times > 1").select("key", "content")
     whole = runs.join(copied, ["key", "content"]).select("d1", "d2", "a", "b")
-    return whole.unionByName(indexed).unionByName(window_marks)
+    copied = again.where("times > 1").select("key", "content")
+    inner = finer.join(copied, ["key", "content"]).select("d1", "d2", "a", "b")
+    return whole.unionByName(inner).unionByName(indexed).unionByName(windows)
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -303,34 +341,66 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         run, "d1 long, d2 long, a int, b int, key long, content long, twice boolean")
 
 
-def _taker(length: int):
-    """Gives the bytes of the wanted parts of each text; of hot ones a row for each window."""
+def _taker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives the bytes of the wanted parts of each text."""
+    for batch in batches:
+        for part, texts in text_slices(batch, "text", SLICE):
+            rows: list[tuple] = []
+            for d1, d2, parts, text in zip(*(part.column(k).to_pylist() for k in range(3)),
+                                           texts.to_pylist(), strict=True):
+                raw = text.encode()
+                rows += [(d1, d2, p["a"], p["key"], p["hot"], raw[p["a"]:p["b"]]) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (
+                    pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()),
+                    strict=True)], ["d1", "d2", "a", "key", "hot", "piece"])
+
+
+def _finer(length: int, core: int):
+    """Cuts pieces into runs of windows again, by their smallest gram of length ``core``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "text", SLICE):
-                columns: list[list] = [[], [], [], [], [], []]
-                data, starts = text_bytes(texts)
-                raw = data.tobytes()
-                hashes = None
-                for d1, d2, parts, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
-                                            part.column(2).to_pylist(), starts.tolist(),
-                                            strict=False):
-                    for p in parts:
-                        a, b = p["a"], p["b"]
-                        if not p["hot"]:
-                            rows = [(d1, d2, a, p["key"], False, raw[s + a:s + b])]
-                        else:
-                            hashes = hashes or Hashes(data)
-                            at = np.arange(s + a, s + b - length + 1)
-                            h = hashes.of(at, at + length).view(np.int64).tolist()
-                            rows = [(d1, d2, a + k, x, True, None) for k, x in enumerate(h)]
-                        for row in rows:
-                            for column, value in zip(columns, row, strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(columns, (
-                        pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()),
-                        strict=True)], ["d1", "d2", "a", "key", "hot", "piece"])
+            data, starts = text_bytes(batch.column(3))
+            of, a, b, key, content, twice = segments(data, starts, length, core)
+            d1, d2, o = (batch.column(k).to_numpy()[of] for k in range(3))
+            shift = o - starts[of]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (d1, d2, o, (a + shift).astype(np.int32),
+                                       (b + shift).astype(np.int32), key.view(np.int64),
+                                       content.view(np.int64), twice)],
+                ["d1", "d2", "o", "a", "b", "key", "content", "twice"])
+
+    return run
+
+
+#: Where a window on its way to be counted comes from.
+PLACE = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("a", "<i4")])
+
+
+def _packer(length: int):
+    """All windows of the pieces by hash, packed: one row for each bucket and batch. Windows of
+    one piece follow each other in a bucket, so that their places compress."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = text_bytes(batch.column(3))
+            n = np.diff(starts) - length + 1
+            of = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            at = starts[of] + inside
+            hashes = Hashes(data).of(at, at + length)
+            order = np.argsort(hashes >> np.uint64(56), kind="stable")
+            hashes, of, inside = hashes[order], of[order], inside[order]
+            places = np.empty(len(of), PLACE)
+            for c in ("d1", "d2"):
+                places[c] = batch.column(c).to_numpy()[of]
+            places["a"] = batch.column("a").to_numpy()[of] + inside
+            cuts = np.searchsorted(hashes >> np.uint64(56),
+                                   np.arange(WINDOW_BUCKETS + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), *(pa.array(
+                    [x[cuts[k]:cuts[k + 1]].tobytes() for k in full], pa.binary())
+                    for x in (hashes, places))], ["bucket", "hashes", "places"])
 
     return run
 
