@@ -146,7 +146,9 @@ def links(distinct: DataFrame) -> DataFrame:
     all bits, so that the variants of one dense cluster also spread over many buckets.
     """
     changes = F.array(*[F.lit(c) for c in BALL])
-    sent = (distinct.select("fp", F.explode(changes).alias("_change"))
+    # fingerprints are small and their variants are not: many tasks write them out
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = (distinct.repartition(parts, "fp").select("fp", F.explode(changes).alias("_change"))
             .select(_fold_column(F.col("fp")).bitwiseXOR(F.col("_change")).alias("bucket"), "fp")
             .repartition("bucket").sortWithinPartitions("bucket"))
 
