@@ -41,6 +41,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES,
         stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -17,8 +17,10 @@ from vouch.operators.lineage import cut
 
 #: Characters of a chunk; longer texts are split.
 CHUNK = 1 << 16
+#: Text bytes encoded in one step; the ids as numbers of Python take about 15 times as much.
+STEP_BYTES = 1 << 20
 #: Segmented words that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 UNIT = re.compile(" +[^ ]*")
 LOW = float("-inf")
 #: Ids from here on stand for one character without a piece, by code point, before it is bytes.
@@ -280,14 +282,16 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lengths = shared.value
+        vocabulary.remembered.clear()  # a worker keeps what is broadcast, and with it the words
         for batch in batches:
-            for part, texts in text_slices(batch, "_text"):
+            for part, texts in text_slices(batch, "_text", STEP_BYTES):
                 found = [_count(vocabulary, vocabulary.encode(t), " " + t if t else "", 0, lengths)
                          for t in texts.to_pylist()]
                 columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(
                     [pa.int64()] * 3 + [pa.bool_()] + [pa.list_(pa.int32())] * with_ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns],
                                                  [*part.schema.names[:-1], *names[:len(columns)]])
+        vocabulary.remembered.clear()
 
     small = rows.where(~giant).mapInArrow(run, ", ".join([*fields, COUNTED]) + extra)
     large = _giants(rows.where(giant), kept, shared, pieces.longest, chunk, with_ids)
