@@ -283,3 +283,15 @@ def test_batching_does_not_change_a_score(spark):
 def test_threshold_parts_the_classes():
     assert toxicity.threshold(np.array([0.1, 0.2, 0.7, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.45)
     assert toxicity.threshold(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
+
+
+def test_a_chosen_id_over_many_rows_is_trained_on_once(spark):
+    texts = [(i, f"good words number {i}" if i % 2 else f"bad zonk number {i}", "en") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    few = [r for r in texts if r[0] in (7, 8, 9)]
+    again = spark.createDataFrame(few * 200, docs.schema)
+    model = toxicity.fit(docs, marks, None)
+    repeated = toxicity.fit(docs.unionByName(again), marks, None)
+    assert (model.table == repeated.table).all() and model.bias == repeated.bias
+    assert model.thresholds == repeated.thresholds
