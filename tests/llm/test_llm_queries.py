@@ -20,15 +20,16 @@ COLUMNS = {
     8: "doc_id size source_size target taken",
     9: "doc_id fingerprint component_id",
     10: "page_id host path rule verdict",
+    11: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 12))
 
 
 @pytest.mark.parametrize("name", ["op2_personal_data", "op3_media_columns", "op7_max_plus_pieces",
-                                  "op8_systematic_mix", "op10_url_rules"])
+                                  "op8_systematic_mix", "op10_url_rules", "op11_periodic_runs"])
 def test_columns_and_rows(spark, sf, name):
     df = QUERIES[name](spark, sf)
     number = int(re.match(r"op(\d+)_", name)[1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from vouch.llm.lm import op1_bloom_lm
 from vouch.llm.media import op3_media_columns
 from vouch.llm.mixing import OP8_SQL, op8_systematic_mix
+from vouch.llm.periods import op11_periodic_runs
 from vouch.llm.pieces import op7_max_plus_pieces
 from vouch.llm.pii import op2_personal_data
 from vouch.llm.repeats import op4_run_index
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ball_hashing": op9_ball_hashing,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {"op8_systematic_mix": OP8_SQL, "op10_url_rules": OP10_SQL}
