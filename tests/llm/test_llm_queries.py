@@ -21,11 +21,12 @@ COLUMNS = {
     9: "doc_id fingerprint component_id",
     10: "page_id host path rule verdict",
     11: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    12: "doc_id n_words n_hit n_items items_sha256 contaminated",
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 13))
 
 
 @pytest.mark.parametrize("name", ["op2_personal_data", "op3_media_columns", "op7_max_plus_pieces",
