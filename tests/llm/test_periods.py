@@ -13,16 +13,14 @@ from vouch.llm import periods
 
 def plain_runs(words, least=12):
     """Every stretch by trying each period; the first period found for a stretch is the smallest."""
-    n, found = len(words), {}
+    n, found, numbers = len(words), {}, {}
+    w = np.array([numbers.setdefault(x, len(numbers)) for x in words], np.int64)
     for q in range(1, n // 2 + 1):
-        i = 0
-        while i < n - q:
-            j = i
-            while j < n - q and words[j] == words[j + q]:
-                j += 1
+        same = w[:-q] == w[q:]
+        edges = np.flatnonzero(np.diff(same, prepend=False, append=False)).tolist()
+        for i, j in zip(edges[::2], edges[1::2], strict=True):
             if j + q - i >= max(least, 2 * q):
                 found.setdefault((i, j + q), q)
-            i = j + 1
     return sorted((a, b - a, q) for (a, b), q in found.items())
 
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import prefixed, read, text_slices
+from vouch.llm.common import read, text_slices
 
 #: Fewest words of a run.
 LEAST = 12
@@ -304,24 +304,27 @@ def _found(texts: pa.Array, least: int) -> tuple[pa.Array, pa.Array, pa.Array]:
     return pa.array(sizes, pa.int64()), listed, collapsed.cast(pa.string())
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """The texts of the registered query: one in ten, by its doc_id, becomes periodic from some
-    word on (a null doc_id: none)."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    rest = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + i % p))
-    turned = F.array_join(F.concat(F.slice(words, F.lit(1), a), rest), " ")
-    return F.when((h % 10 == 0) & (n > 0), turned).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, t) of the registered query: the text of one document in ten, by its doc_id, becomes
+    periodic from some word on (a null doc_id: none)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"),
+                       F.floor(h / 10).alias("g"), F.size("w").alias("n"))
+    a = (F.col("g") % F.col("n")).cast("int")
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p)
+    left = F.col("n") - F.col("a")
+    copies = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")),
+                                      F.ceil(left / F.col("p")).cast("int")))
+    turned = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")),
+                                   F.slice(copies, F.lit(1), left)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, turned).otherwise(F.col("text")).alias("t"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 11: runs and collapsed text of every document, as digests."""
-    docs = prefixed(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        F.col("k_doc_id").alias("doc_id"), planted(F.col("k_doc_id"), F.col("k_text")).alias("t"))
+    docs = planted(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = find_runs(docs, "t", keep=["doc_id"])
     lines = F.array_join(F.transform("runs", lambda r: F.concat(
         r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
