@@ -22,11 +22,12 @@ COLUMNS = {
     10: "page_id host path rule verdict",
     11: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     12: "doc_id n_words n_hit n_items items_sha256 contaminated",
+    13: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 13))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2_personal_data", "op3_media_columns", "op7_max_plus_pieces",

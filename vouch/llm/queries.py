@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vouch.llm.alignment import op13_lockstep_alignment
 from vouch.llm.decontamination import op12_wu_manber
 from vouch.llm.lm import op1_bloom_lm
 from vouch.llm.media import op3_media_columns
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_wu_manber": op12_wu_manber,
+    "op13_lockstep_alignment": op13_lockstep_alignment,
 }
 ORACLES = {"op8_systematic_mix": OP8_SQL, "op10_url_rules": OP10_SQL}
