@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def rank_encoder(path: str):
+    """An encoder by ranks for a byte-level file whose merges have the ids' order and whose texts
+    are split by the public pattern (the same ids at a quarter of the time); else None."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    vocab, merges = held["model"].get("vocab"), held["model"].get("merges")
+    split, letters = held.get("pre_tokenizer") or {}, byte_letters()
+    if held.get("normalizer") or merges is None or split.get("type") != "ByteLevel" \
+            or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    if any(vocab.get(m) != 256 + k for k, m in enumerate(joined)):
+        return None
+    ranks = {bytes(letters[c] for c in t): k for t, k in vocab.items() if k < 256 + len(merges)}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={})
+
+
 class Pair:
     """Two tokenizers, and the bytes of each of their tokens."""
 
@@ -53,6 +75,7 @@ class Pair:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.a_ranks = rank_encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
         self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
@@ -79,7 +102,10 @@ class Pair:
         b_ids: list[list[int]] = []
         for k in range(0, len(texts), BATCH):
             part = texts[k:k + BATCH]
-            a_ids += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            if self.a_ranks is not None:
+                a_ids += map(self.a_ranks.encode_ordinary, part)
+            else:
+                a_ids += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
             b_ids += [i or [self.blank] for i in  # to B, a space alone is an empty text
                       self.b.encode([t[1:] for t in part], num_threads=1)]
         raw = [t.encode() for t in texts]
