@@ -63,3 +63,21 @@ def token_set_ratio(left: ColumnOrName, right: ColumnOrName) -> Column:
         .when(contained, F.lit(100.0))
         .otherwise(F.greatest(rests, with_a, with_b))
     )
+
+
+def token_set_ratio_of(left: str, right: str) -> float:
+    """The same similarity for two names inside a task."""
+    if not left or not right:
+        return 0.0
+    a, b = sorted(set(left.split(" "))), sorted(set(right.split(" ")))
+    both = [w for w in a if w in b]
+    rest_a, rest_b = (" ".join(w for w in x if w not in both) for x in (a, b))
+    if both and not (rest_a and rest_b):
+        return 100.0
+    shared, sep = len(" ".join(both)), 1 if both else 0
+    total_a, total_b = shared + sep + len(rest_a), shared + sep + len(rest_b)
+    apart = len(rest_a) + len(rest_b) - 2 * _common_subsequence(rest_a, rest_b)
+    best = 100.0 - 100.0 * apart / (total_a + total_b)
+    for rest, total in ((rest_a, total_a), (rest_b, total_b)) if both else ():
+        best = max(best, 100.0 - 100.0 * (sep + len(rest)) / (shared + total))
+    return best

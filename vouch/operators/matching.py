@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from vouch import fixed_values as fv
 from vouch.functions import text as tx
-from vouch.functions.similarity import token_set_ratio
-from vouch.operators.spatial import min_id_within, pairs_within
+from vouch.operators.near_names import similar_within
+from vouch.operators.spatial import min_id_within
 
 KEY = ["source_id", "external_id"]
 
@@ -66,9 +66,9 @@ def nearby_match(listings: DataFrame, entities: DataFrame, *, key: list[str] | N
 
     Ties go to an equal name, then to the smaller id; with ``smallest`` any similar entity
     counts and the smallest id wins. Equal names, the usual hot case, never form pairs: they
-    are answered per sub-cell. Other names are compared once per distinct (name, place).
-    Rows may bring prepared ``name_keys``; ``settle`` may store the equal-name answer, which
-    is used twice.
+    are answered per sub-cell. Other names meet by their rare parts (``near_names``) and are
+    compared once per distinct pair. Rows may bring prepared ``name_keys``; ``settle`` may store
+    the equal-name answer, which is used twice, and the name pairs.
     """
     key = key or KEY
     if "name_keys" not in listings.columns:
@@ -89,10 +89,7 @@ def nearby_match(listings: DataFrame, entities: DataFrame, *, key: list[str] | N
     others = held.groupBy(*place).agg(F.min("business_id").alias("business_id")).select(
         "city_id", F.col("name").alias("r_name"), F.col("lat").alias("r_lat"),
         F.col("lng").alias("r_lng"), "business_id")
-    pairs = pairs_within(asked, others, ["city_id"], meters).where(
-        F.col("name") != F.col("r_name"))
-    similar = pairs.withColumn("similarity", token_set_ratio("name", "r_name")).where(
-        F.col("similarity") >= cut)
+    similar = similar_within(asked, others, ["city_id"], meters, cut, settle)
     found = equal.withColumn("similarity", F.lit(100.0)).withColumn("equal", F.lit(1))
     found = found.unionByName(similar.select(*place, "business_id", "similarity",
                                              F.lit(0).alias("equal")))

@@ -1,21 +1,36 @@
 """Resolving listings to entities.
 
 The rules are: the same record was seen before; else a shared link within 1 km; else within
-150 m and a similar name; else a new entity. Applied one listing at a time (in a fixed order
-of sources and ids) these rules make the result depend on what came before. The same result
-is reached here in rounds over all listings at once: match the open listings to the entities
-known so far; of the rest, those that no earlier open listing could attract become new
-entities; repeat until no listing is open. A typical run needs two or three rounds; a line of
-neighbours in the order of their ids needs as many rounds as half its length.
+150 m and a similar name; else a new entity. They are applied one listing at a time, in a fixed
+order of sources and ids, so the result depends on what came before: a listing that joins an
+entity lends it its links and fills its gaps.
+
+What can depend on what is much less than everything. Listings that share a link, have one name
+in a city, have similar names within reach, or could both move an entity without a place, are
+connected; nothing outside a component has a say in it (``influence``). Components come from
+pointer doubling, so a line of neighbours costs the logarithm of its length. Each component of at
+most ``WALK`` rows is then walked in order by one call, all components at once.
+
+A component beyond that (a link or name that holds a great share of a city) is settled in rounds
+over all its listings at once: match the open ones to the entities known so far; of the rest,
+those that no earlier open listing could attract become new entities; repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouch import fixed_values as fv
+from vouch.functions import geo
 from vouch.functions import text as tx
+from vouch.functions.similarity import token_set_ratio_of
+from vouch.operators.components import connected
 from vouch.operators.lineage import cut
 from vouch.operators.matching import (
     KEY,
@@ -24,8 +39,12 @@ from vouch.operators.matching import (
     record_match,
     with_name_keys,
 )
+from vouch.operators.near_names import similar_names, similar_within
 from vouch.operators.ranking import survivorship
 
+#: Most listings and known entities of a component that one call walks (a few MB).
+WALK = 20_000
+
 
 def source_rank(source_id: Column, order: tuple[str, ...] = fv.SOURCE_ORDER) -> Column:
     """Position of a source in the survivorship order; unknown sources come last."""
@@ -57,28 +76,196 @@ def _leaders(pending: DataFrame) -> DataFrame:
     return pending.join(earlier.select("_ord"), "_ord", "left_anti")
 
 
+def influence(open_: DataFrame, base: DataFrame, held_links: DataFrame) -> DataFrame:
+    """(node, grp): open listings of one group may depend on each other.
+
+    A superset of what the rules can need. An entity's links and names come from its members, which
+    lie within 1 km of it or are without a place; so a name that an entity took over is that of a
+    listing at most 1 km and 150 m away, or of one without a place. A known entity without a place
+    gets that of its first located member, so all that share a link with it, or have its name or a
+    similar one, count as one group.
+    """
+    links = _link_rows(open_.withColumnRenamed("_ord", "business_id")).select(
+        F.col("business_id").alias("node"), "kind", "value").join(
+        open_.select(F.col("_ord").alias("node"), "city_id"), "node")
+    by_link = links.select("node", F.concat_ws("\u0001", F.lit("l"), "city_id", "kind", "value")
+                           .alias("grp"))
+    named = open_.select(F.col("_ord").alias("node"), "city_id", "lat", "lng",
+                         F.explode(F.array_distinct(F.array_compact(F.concat("name_keys", F.array(
+                             "fa_key", "latin_key"))))).alias("name")).where("name <> ''")
+    nowhere = base.where("lat IS NULL OR lng IS NULL").withColumn(
+        "node", F.concat(F.lit("\u0003"), "business_id"))
+    named = named.unionByName(nowhere.select("node", "city_id", "lat", "lng", F.explode("name_keys")
+                                             .alias("name")))
+    by_name = named.select("node", _name_group("city_id", "name").alias("grp"))
+    located = named.where("lat IS NOT NULL AND lng IS NOT NULL")
+    right = located.select("city_id", F.col("name").alias("r_name"), F.col("lat").alias("r_lat"),
+                           F.col("lng").alias("r_lng"))
+    alike = similar_within(located.select("city_id", "name", "lat", "lng").distinct(),
+                           right.distinct(), ["city_id"],
+                           fv.SAME_LINK_METERS + fv.NEARBY_METERS, settle=cut)
+    alike = alike.select("city_id", "name", "r_name").distinct()
+    loose = named.where("lat IS NULL OR lng IS NULL").select("city_id", "name").distinct()
+    everywhere = similar_names(loose, named.select("city_id", F.col("name").alias("r_name")),
+                               ["city_id"], settle=cut)
+    everywhere = loose.join(everywhere, "name").select("city_id", "name", "r_name")
+    alike = cut(alike.unionByName(everywhere).where("name <> r_name"))
+    pair = F.concat_ws("\u0001", F.lit("s"), "city_id", "name", "r_name")
+    ends = alike.select("city_id", "name", pair.alias("grp")).unionByName(
+        alike.select("city_id", F.col("r_name").alias("name"), pair.alias("grp")))
+    # names stand for their listings: all of one name in a city are one group already
+    by_likeness = ends.select(F.concat(F.lit("\u0002"), _name_group("city_id", "name")).alias("node"),
+                              "grp")
+    names = named.select("city_id", "name").distinct().select(
+        F.concat(F.lit("\u0002"), _name_group("city_id", "name")).alias("node"),
+        _name_group("city_id", "name").alias("grp"))
+    entity = F.concat(F.lit("e\u0001"), "business_id").alias("grp")
+    by_entity = links.join(nowhere.select("business_id", "city_id").join(held_links, "business_id"),
+                           ["city_id", "kind", "value"]).select("node", entity)
+    by_entity = by_entity.unionByName(nowhere.select("node", entity))
+    return by_link.unionByName(by_name).unionByName(by_likeness).unionByName(names).unionByName(
+        by_entity).unionByName(open_.select(F.col("_ord").alias("node"),
+                                            F.concat(F.lit("o\u0001"), "_ord").alias("grp")))
+
+
+def _name_group(city: str, name: str) -> Column:
+    return F.concat_ws("\u0001", F.lit("n"), city, name)
+
+
+def _related(open_: DataFrame, base: DataFrame, held_links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Known entities that a component can join at first sight: (root, entity columns, links)."""
+    listed = open_.join(roots, "_ord")
+    links = listed.select("root", "city_id", F.explode("links").alias("l")).select(
+        "root", "city_id", "l.kind", "l.value").distinct()
+    held = held_links.join(base.select("business_id", "city_id"), "business_id")
+    shared = links.join(held, ["city_id", "kind", "value"]).groupBy("root", "business_id").agg(
+        F.collect_set(F.struct("kind", "value")).alias("links"))
+    located = "lat IS NOT NULL AND lng IS NOT NULL"
+    near = listed.where(located).select("root", "city_id", "lat", "lng",
+                                        F.get("name_keys", F.lit(0)).alias("name")).where(
+        "name IS NOT NULL").distinct()
+    named = base.where(located).select("business_id", "city_id", F.col("lat").alias("r_lat"),
+                                       F.col("lng").alias("r_lng"),
+                                       F.explode("name_keys").alias("r_name"))
+    alike = similar_within(near, named, ["city_id"], fv.NEARBY_METERS, settle=cut)
+    # one name of a city lies in one component, so this is at most a row a name of an entity
+    same = near.select("root", "city_id", F.col("name").alias("r_name")).distinct().join(
+        named, ["city_id", "r_name"])
+    ids = shared.select("root", "business_id").unionByName(alike.select("root", "business_id")) \
+        .unionByName(same.select("root", "business_id")).distinct()
+    return ids.join(shared, ["root", "business_id"], "left").join(base, "business_id").select(
+        "root", "business_id", "lat", "lng", "name_fa", "name_latin", "fa_key", "latin_key", "links")
+
+
+def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = (math.sin((q - p) / 2) ** 2
+         + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)
+    return 2 * fv.EARTH_RADIUS_METERS * math.asin(min(1.0, math.sqrt(h)))
+
+
+def walk(listings: pa.Table, entities: pa.Table) -> pa.Table:
+    """Rows (key, business_id, stage) of one component, its listings taken in their order."""
+    known: dict[str, dict] = {}
+    holders: dict[tuple[str, str], set[str]] = defaultdict(set)
+    cells: dict[tuple[int, int], set[str]] = defaultdict(set)
+    tall = fv.NEARBY_METERS / geo.METERS_PER_DEGREE * 1.001
+
+    def place(e: dict, row: dict) -> None:
+        """An entity takes what it lacks from a row, and the row's links."""
+        if e.get("at") is None and row["lat"] is not None and row["lng"] is not None:
+            e["at"] = (row["lat"], row["lng"])
+            cells[int(row["lat"] // tall), 0].add(e["id"])
+        for name, key in (("name_fa", "fa_key"), ("name_latin", "latin_key")):
+            if e.get(name) is None and row[name] is not None:
+                e[name], e[key] = row[name], row[key]
+        for link in row["links"] or ():
+            holders[link["kind"], link["value"]].add(e["id"])
+
+    for row in entities.to_pylist():
+        place(known.setdefault(row["business_id"], {"id": row["business_id"]}), row)
+    out: list[tuple[str, str]] = []
+    rows = sorted(listings.to_pylist(), key=lambda r: r["_ord"])
+    for row in rows:
+        at = None if row["lat"] is None or row["lng"] is None else (row["lat"], row["lng"])
+        by_link = [e for link in row["links"] or () for e in holders[link["kind"], link["value"]]
+                   if at is None or known[e].get("at") is None
+                   or _apart(at, known[e]["at"]) <= fv.SAME_LINK_METERS]
+        found, stage = (min(by_link), "link") if by_link else (None, "new")
+        name = row["name_keys"][0] if row["name_keys"] else ""
+        if found is None and at is not None and name:
+            best = None
+            band = int(at[0] // tall)
+            for e in (e for k in (band - 1, band, band + 1) for e in cells[k, 0]):
+                if _apart(at, known[e]["at"]) > fv.NEARBY_METERS:
+                    continue
+                for key in (known[e].get("fa_key"), known[e].get("latin_key")):
+                    alike = token_set_ratio_of(name, key) if key else 0.0
+                    if alike >= fv.NAME_SIMILARITY_CUT:
+                        rank = (-alike, key != name, e)
+                        best = rank if best is None or rank < best else best
+            if best is not None:
+                found, stage = best[2], "name"
+        if found is None:
+            found = hashlib.sha256(f"{row['source_id']}|{row['external_id']}".encode()).hexdigest()
+            known[found] = {"id": found}
+        place(known[found], row)
+        out.append((found, stage))
+    return pa.table({"source_id": [r["source_id"] for r in rows],
+                     "external_id": [r["external_id"] for r in rows],
+                     "business_id": [o[0] for o in out], "stage": [o[1] for o in out]},
+                    pa.schema([(c, pa.string()) for c in RESULT]))
+
+
+RESULT = (*KEY, "business_id", "stage")
+
+
 def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFrame,
-                     entity_links: DataFrame, *, order: tuple[str, ...] = fv.SOURCE_ORDER) -> DataFrame:
+                     entity_links: DataFrame, *, order: tuple[str, ...] = fv.SOURCE_ORDER,
+                     walk_rows: int = WALK) -> DataFrame:
     """(key, business_id, stage): stage is record, link, name or new.
 
     ``listings``: source_id, external_id, city_id, name, lat, lng, links, one row per key.
-    ``entities``: business_id, city_id, lat, lng, name_fa, name_latin.
+    ``entities``: business_id, city_id, lat, lng, name_fa, name_latin. A listing joins the smallest
+    entity of those that share a link with it, else the one of the most similar name (of equal
+    ones that of the same name, then the smallest).
     """
     persian, latin = tx.split_name("name")
     todo = listings.select(*KEY, "city_id", "name", "lat", "lng", "links",
                            order_key(order).alias("_ord"), persian.alias("name_fa"),
                            latin.alias("name_latin"))
-    todo = with_name_keys(todo, ("name",))
+    todo = _with_both_keys(with_name_keys(todo, ("name",)))
     known = record_match(todo, records)
     done = known.withColumn("stage", F.lit("record"))
     open_ = cut(todo.join(known, KEY, "left_anti"))
     if open_.isEmpty():
         return done
     # records seen before keep their entity and lend it their links
-    held_links = entity_links.select("business_id", "kind", "value").unionByName(
-        _link_rows(todo.join(known, KEY))).distinct()
-    base = cut(with_name_keys(_entity_columns(entities), ("name_latin", "name_fa")))
-    some = not base.isEmpty()
+    held_links = cut(entity_links.select("business_id", "kind", "value").unionByName(
+        _link_rows(todo.join(known, KEY))).distinct())
+    base = cut(_with_both_keys(with_name_keys(_entity_columns(entities), ("name_latin", "name_fa"))))
+    roots = connected(influence(open_, base, held_links)).withColumnRenamed("node", "_ord")
+    roots = open_.select("_ord").join(roots, "_ord")
+    related = cut(_related(open_, base, held_links, roots))
+    rows = roots.select("root").unionByName(related.select("root"))
+    sizes = cut(rows.groupBy("root").count())
+    small = sizes.where(F.col("count") <= walk_rows).select("root")
+    walked = open_.join(roots.join(small, "root"), "_ord").select(
+        "root", *KEY, "_ord", "lat", "lng", "name_fa", "name_latin", "fa_key", "latin_key",
+        "name_keys", "links")
+    near = related.join(small, "root").withColumnRenamed("root", "_root")
+    walked = walked.groupBy("root").cogroup(near.groupBy("_root")).applyInArrow(
+        walk, ", ".join(f"{c} string" for c in RESULT))
+    done = done.unionByName(walked)
+    large = sizes.where(F.col("count") > walk_rows).select("root")
+    if large.isEmpty():
+        return done
+    large = cut(open_.join(roots.join(large, "root"), "_ord").drop("root"))
+    return done.unionByName(_in_rounds(large, base, held_links))
+
+
+def _in_rounds(open_: DataFrame, base: DataFrame, held_links: DataFrame) -> DataFrame:
+    some, done = not base.isEmpty(), None
     while True:  # every round settles at least the first open listing
         pending = open_
         joined = None
@@ -88,23 +275,25 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
             by_name = nearby_match(rest, base, settle=cut).select(*KEY, "business_id")
             joined = cut(by_link.withColumn("stage", F.lit("link")).unionByName(
                 by_name.withColumn("stage", F.lit("name"))))
-            done = done.unionByName(joined)
             pending = cut(open_.join(joined, KEY, "left_anti"))
-            if pending.isEmpty():
-                return done
         new = cut(_leaders(pending).select(*KEY, entity_id().alias("business_id"),
                                            F.lit("new").alias("stage")))
-        done = done.unionByName(new)
+        joined = new if joined is None else joined.unionByName(new)
+        done = joined if done is None else done.unionByName(joined)
         left = cut(pending.join(new, KEY, "left_anti"))
         if left.isEmpty():
             return done
-        joined = new if joined is None else joined.unionByName(new)
         members = open_.join(joined.select(*KEY, "business_id"), KEY)
         held_links = cut(held_links.unionByName(_link_rows(members)).distinct())
         base = cut(_merge_fields(base, members))
         open_, some = left, True
 
 
+def _with_both_keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"fa_key": tx.normalize_name("name_fa"),
+                             "latin_key": tx.normalize_name("name_latin")})
+
+
 def _link_rows(members: DataFrame) -> DataFrame:
     return members.select("business_id", F.explode("links").alias("l")).select(
         "business_id", "l.kind", "l.value")

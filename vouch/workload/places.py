@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from vouch import fixed_values as fv
 from vouch.functions import address, categories, geo
 from vouch.functions import text as tx
-from vouch.functions.similarity import token_set_ratio
 from vouch.operators import filters as fl
-from vouch.operators import matching, spatial
+from vouch.operators import matching, near_names, spatial
 from vouch.operators import ranking as rk
 from vouch.operators import upsert as up
+from vouch.operators.lineage import cut
 from vouch.plans import cities as city_plan
 from vouch.plans import index, schedule
 from vouch.plans.resolve import resolve_entities
@@ -131,13 +131,14 @@ def _(t):
     return t("listing").select("external_id", tx.normalize_name("name").alias("name"))
 
 
-@query("fn_9_name_similarity", "SELECT a, b, round(sim, 6) AS similarity FROM sims",
+@query("fn_9_name_similarity", "SELECT a, b, round(sim, 6) AS similarity FROM sims WHERE sim >= 80",
        "listing entity", SIMILAR)
 def _(t):
-    a = t("listing").select("city_id", tx.normalize_name("name").alias("a")).distinct()
-    b = t("entity").select("city_id", tx.normalize_name("name_latin").alias("b")).distinct()
-    pairs = a.join(b, "city_id").select("a", "b").distinct().where("a <> '' AND b <> ''")
-    return pairs.select("a", "b", F.round(token_set_ratio("a", "b"), 6).alias("similarity"))
+    a = t("listing").select("city_id", tx.normalize_name("name").alias("name"))
+    b = t("entity").select("city_id", tx.normalize_name("name_latin").alias("r_name"))
+    return near_names.similar_names(a, b, ["city_id"], settle=cut).select(
+        F.col("name").alias("a"), F.col("r_name").alias("b"),
+        F.round("similarity", 6).alias("similarity"))
 
 
 NEAREST = f"""
@@ -158,26 +159,30 @@ def _(t):
        "listing entity", SIMILAR)
 def _(t):
     near = t("listing").select("external_id", "city_id", "lat", "lng",
-                               tx.normalize_name("name").alias("a")).where("lat IS NOT NULL")
+                               tx.normalize_name("name").alias("name")).where("lat IS NOT NULL")
     held = t("entity").select("business_id", "city_id", F.col("lat").alias("r_lat"),
                               F.col("lng").alias("r_lng"),
-                              tx.normalize_name("name_latin").alias("b")).where("lat IS NOT NULL")
-    pairs = spatial.pairs_within(near, held, ["city_id"], fv.NEARBY_METERS).withColumn(
-        "similarity", token_set_ratio("a", "b"))
-    best = rk.first_by(pairs.where(F.col("similarity") >= 80), ["external_id"],
-                       [-F.col("similarity"), (F.col("a") != F.col("b")), "business_id"])
+                              tx.normalize_name("name_latin").alias("r_name")).where("lat IS NOT NULL")
+    near, held = near.where("name <> ''"), held.where("r_name <> ''")
+    alike = near_names.similar_within(near, held, ["city_id"], fv.NEARBY_METERS, settle=cut)
+    named = near.withColumn("r_name", F.col("name")).withColumn("similarity", F.lit(100.0))
+    equal = spatial.pairs_within(named, held, ["city_id", "r_name"], fv.NEARBY_METERS)
+    columns = ["external_id", "business_id", "similarity", (F.col("name") != F.col("r_name")).alias("d")]
+    best = rk.first_by(alike.select(*columns).unionByName(equal.select(*columns)), ["external_id"],
+                       [-F.col("similarity"), "d", "business_id"])
     return best.select("external_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("fn_29_geo_distance", f"""
 SELECT l.external_id, e.business_id, round({AWAY}, 3) AS meters FROM listing l
-JOIN entity e USING (city_id) WHERE l.lat IS NOT NULL AND e.lat IS NOT NULL""", "listing entity")
+JOIN entity e USING (city_id) WHERE {AWAY} <= 1000""", "listing entity")
 def _(t):
-    e = t("entity").select("business_id", "city_id", F.col("lat").alias("y"),
-                           F.col("lng").alias("x"))
-    df = t("listing").join(e, "city_id").where("lat IS NOT NULL AND y IS NOT NULL")
-    return df.select("external_id", "business_id",
-                     F.round(geo.distance_m("lat", "lng", "y", "x"), 3).alias("meters"))
+    e = t("entity").select("business_id", "city_id", F.col("lat").alias("r_lat"),
+                           F.col("lng").alias("r_lng")).where("r_lat IS NOT NULL")
+    pairs = spatial.pairs_within(t("listing").where("lat IS NOT NULL"), e, ["city_id"],
+                                 fv.SAME_LINK_METERS)
+    return pairs.select("external_id", "business_id",
+                        F.round(geo.distance_m("lat", "lng", "r_lat", "r_lng"), 3).alias("meters"))
 
 
 @query("jn_6_block_list", """
@@ -189,16 +194,66 @@ def _(t):
     return fl.drop_blocked(links_of(t), block, ["source_id", "external_id"]).select("external_id")
 
 
-@query("pl_1_resolve_entities")
-def _(t):
-    # order dependent; tests compare the rounds with one-at-a-time processing. Every ninth
-    # listing is the record that its number's entity was first seen in
+# one listing at a time, a city's n-th listing in the n-th step; ents: the city's entities so far
+SEEN = """seen AS (SELECT l.source_id, l.external_id, e.business_id FROM listing l JOIN entity e
+  ON e.business_id = 's' || lpad(substr(l.external_id, 2), 12, '0') WHERE l.k % 9 = 0)"""
+SOURCE_RANK = "list_position(" + str(list(fv.SOURCE_ORDER)) + ", source_id)"
+WALKED = f"""{SEEN},
+names AS (SELECT external_id, source_id, city_id, lat, lng, {norm_sql("name")} AS key FROM listing),
+others AS (SELECT city_id, lat, lng, key FROM names UNION ALL
+  SELECT city_id, lat, lng, {norm_sql("name_latin")} FROM entity),
+{SIMILAR[SIMILAR.index("split AS"):].replace("FROM pairs WHERE a <> '' AND b <> ''",
+    f"FROM (SELECT DISTINCT l.key AS a, e.key AS b FROM names l JOIN others e USING (city_id) WHERE "
+    f"l.key <> '' AND e.key <> '' AND (e.lat IS NULL OR {AWAY} <= 160)) p")},
+alike AS (SELECT a AS key, list(struct_pack(b := b, s := sim)) AS likes FROM sims WHERE sim >= 80
+  GROUP BY a),
+sites AS (SELECT source_id, external_id, list(kind || ':' || value) AS links FROM listing_link
+  GROUP BY ALL),
+turns AS (SELECT l.*, coalesce(x.links, CAST([] AS VARCHAR[])) AS links,
+    coalesce(k.likes, CAST([] AS STRUCT(b VARCHAR, s DOUBLE)[])) AS likes,
+    row_number() OVER (PARTITION BY city_id ORDER BY {SOURCE_RANK}, l.source_id, l.external_id) AS n
+  FROM names l LEFT JOIN sites x USING (source_id, external_id) LEFT JOIN alike k USING (key)
+  WHERE (l.source_id, l.external_id) NOT IN (SELECT (source_id, external_id) FROM seen)),
+holds AS (SELECT business_id, list(DISTINCT link) AS links FROM (
+    SELECT business_id, kind || ':' || value AS link FROM entity_link UNION ALL
+    SELECT business_id, unnest(links) FROM seen JOIN sites USING (source_id, external_id)) GROUP BY 1),
+first AS (SELECT city_id, list(struct_pack(id := business_id, lat := lat, lng := lng,
+    key := {norm_sql("name_latin")}, links := coalesce(links, CAST([] AS VARCHAR[])))) AS ents
+  FROM entity LEFT JOIN holds USING (business_id) GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS n, c.city_id, coalesce(ents, CAST([] AS STRUCT(id VARCHAR, lat DOUBLE,
+    lng DOUBLE, key VARCHAR, links VARCHAR[])[])) AS ents, '' AS source_id, '' AS external_id,
+    '' AS business_id, '' AS stage
+  FROM (SELECT DISTINCT city_id FROM names) c LEFT JOIN first USING (city_id)
+  UNION ALL
+  SELECT n, city_id, CASE WHEN stage = 'new' THEN list_append(ents, struct_pack(id := id, lat := lat,
+      lng := lng, key := key, links := links)) ELSE list_transform(ents, lambda e: CASE WHEN e.id = id
+        THEN struct_pack(id := e.id, lat := coalesce(e.lat, lat), lng := coalesce(e.lng, lng),
+          key := e.key, links := list_distinct(list_concat(e.links, links))) ELSE e END) END,
+    source_id, external_id, id, stage
+  FROM (SELECT *, coalesce(by_link, by_name, sha256(source_id || '|' || external_id)) AS id,
+      CASE WHEN by_link IS NOT NULL THEN 'link' WHEN by_name IS NOT NULL THEN 'name' ELSE 'new' END
+        AS stage
+    FROM (SELECT l.*, w.ents, list_min(list_transform(list_filter(w.ents, lambda e:
+            len(list_intersect(e.links, l.links)) > 0 AND (l.lat IS NULL OR e.lat IS NULL
+              OR {AWAY} <= 1000)), lambda e: e.id)) AS by_link,
+          list_min(list_transform(list_filter(w.ents, lambda e: l.lat IS NOT NULL
+            AND e.lat IS NOT NULL AND {AWAY} <= 150
+            AND len(list_filter(l.likes, lambda x: x.b = e.key)) > 0), lambda e: struct_pack(
+              s := -list_filter(l.likes, lambda x: x.b = e.key)[1].s, d := e.key <> l.key,
+              id := e.id))).id AS by_name
+      FROM walk w JOIN turns l ON l.city_id = w.city_id AND l.n = w.n + 1) t) t)"""
+
+
+@query("pl_1_resolve_entities", """
+SELECT source_id, external_id, business_id, stage FROM walk WHERE n > 0
+UNION ALL SELECT source_id, external_id, business_id, 'record' FROM seen""",
+       "listing listing_link entity entity_link", WALKED)
+def _(t):
+    # every ninth listing is the record that its number's entity was first seen in
     records = t("listing").join(t("entity"), F.concat(F.lit("s"), F.lpad(F.substring(
-        "external_id", 2, 20), 12, "0")) == F.col("business_id")).where(
-        F.crc32("external_id") % 9 == 0).select("source_id", "external_id", "business_id")
-    got = resolve_entities(links_of(t), t("entity"), records, t("entity_link"))
-    return got.groupBy("stage").agg(F.count(F.lit(1)).alias("listings"),
-                                    F.count_distinct("business_id").alias("entities"))
+        "external_id", 2, 20), 12, "0")) == F.col("business_id")).where("k % 9 = 0").select(
+        "source_id", "external_id", "business_id")
+    return resolve_entities(links_of(t), t("entity"), records, t("entity_link"))
 
 
 @query("wn_8_slug_dedupe", """
