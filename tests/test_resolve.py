@@ -86,8 +86,8 @@ def world(seed, n):
     return rows, held, links
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_one_listing_at_a_time(spark, seed):
+@pytest.mark.parametrize(("seed", "city_rows"), [(0, 10_000), (2, 10_000), (1, 0)])
+def test_equals_one_listing_at_a_time(spark, seed, city_rows):
     rows, held, links = world(seed, 130)
     listings = spark.createDataFrame(rows, LISTING)
     entities = spark.createDataFrame(held, ENTITY)
@@ -95,7 +95,7 @@ def test_equals_one_listing_at_a_time(spark, seed):
     known = spark.createDataFrame([rows[0][:2] + (held[0][0],)],
                                   "source_id string, external_id string, business_id string")
     got = {(r.source_id, r.external_id): (r.business_id, r.stage) for r in resolve.resolve_entities(
-        listings, entities, known, holdings).collect()}
+        listings, entities, known, holdings, city_rows=city_rows).collect()}
     plain, base = prepared(spark, listings, entities)
     first = next(r for r in plain if (r["source_id"], r["external_id"]) == rows[0][:2])
     links += [(held[0][0], x["kind"], x["value"]) for x in first["links"]]
@@ -104,7 +104,17 @@ def test_equals_one_listing_at_a_time(spark, seed):
     assert len({s for _, s in want.values()}) == 3
 
 
-@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_a_listing_without_a_city_is_a_new_entity(spark):
+    rows = [("osm", "a", None, "Blue Door", 43.7, -79.4, [("website", "w", "u")])] * 1
+    rows += [("osm", "b", None, "Blue Door", 43.7, -79.4, [("website", "w", "u")])]
+    none = [spark.createDataFrame([], s) for s in (
+        ENTITY, "source_id string, external_id string, business_id string",
+        "business_id string, kind string, value string")]
+    got = resolve.resolve_entities(spark.createDataFrame(rows, LISTING), *none).collect()
+    assert {r.stage for r in got} == {"new"} and len({r.business_id for r in got}) == 2
+
+
+@pytest.mark.parametrize("order", ["mixed", "up"])
 def test_a_long_line_takes_few_rounds(spark, order, monkeypatch):
     """A thousand listings of one name, 100 m apart."""
     n, rounds = 1000, []
@@ -112,18 +122,14 @@ def test_a_long_line_takes_few_rounds(spark, order, monkeypatch):
              "mixed": random.Random(2).sample(range(n), n)}[order]
     rows = [("osm", f"n{r:04d}", 1, "Tabriz Larder", 43.0 + i * 0.0009, -79.4, [])
             for i, r in enumerate(ranks)]
-    links = [(f"g{i}", [r, s]) for i, (r, s) in enumerate(zip(ranks, ranks[1:], strict=False))]
-    members = spark.createDataFrame([(f"n{r:04d}", g) for g, pair in links for r in pair],
-                                    "node string, grp string")
-    roots = connected(members, most_rounds=25).collect()
-    assert {r.root for r in roots} == {"n0000"} and len(roots) == n
     monkeypatch.setattr(resolve, "connected", lambda m: rounds.append(1) or connected(m, 25))
     listings = spark.createDataFrame(rows, LISTING)
     none = spark.createDataFrame([], ENTITY)
     got = resolve.resolve_entities(
         listings, none, spark.createDataFrame([], "source_id string, external_id string, "
                                               "business_id string"),
-        spark.createDataFrame([], "business_id string, kind string, value string")).collect()
+        spark.createDataFrame([], "business_id string, kind string, value string"),
+        city_rows=0).collect()
     found = {r.external_id: r for r in got}
     want, entities = set(), []
     for i, r in sorted(enumerate(ranks), key=lambda x: x[1]):
@@ -143,10 +149,17 @@ def test_large_components_are_settled_in_rounds(spark):
         ENTITY, "source_id string, external_id string, business_id string",
         "business_id string, kind string, value string")]
     out = [{(r.external_id, r.stage == "new") for r in resolve.resolve_entities(
-        listings, *none, walk_rows=w).collect()} for w in (5, 10_000)]
+        listings, *none, city_rows=c, walk_rows=w).collect()} for c, w in ((5, 5), (5, 10_000))]
     assert out[0] == out[1] and len(out[0]) == 60
 
 
+def test_components_of_a_line(spark):
+    n = 1000
+    members = [(f"n{k:04d}", f"g{g}") for k in range(n) for g in (k, k + 1)]
+    roots = connected(spark.createDataFrame(members, "node string, grp string"), 25).collect()
+    assert {r.root for r in roots} == {"n0000"} and len(roots) == n
+
+
 def test_components_of_random_groups(spark):
     rng = random.Random(3)
     members = [(f"v{rng.randrange(400):03d}", f"g{rng.randrange(330)}") for _ in range(560)]

@@ -68,7 +68,7 @@ def nearby_match(listings: DataFrame, entities: DataFrame, *, key: list[str] | N
     counts and the smallest id wins. Equal names, the usual hot case, never form pairs: they
     are answered per sub-cell. Other names meet by their rare parts (``near_names``) and are
     compared once per distinct pair. Rows may bring prepared ``name_keys``; ``settle`` may store
-    the equal-name answer, which is used twice, and the name pairs.
+    what is read several times: the prepared names, the equal-name answer, the names' parts.
     """
     key = key or KEY
     if "name_keys" not in listings.columns:
@@ -78,9 +78,9 @@ def nearby_match(listings: DataFrame, entities: DataFrame, *, key: list[str] | N
     located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     near = listings.where(located).select(*key, "city_id", "lat", "lng",
                                           F.get("name_keys", F.lit(0)).alias("name"))
-    near = near.where(F.col("name").isNotNull())
-    held = entities.where(located).select("business_id", "city_id", "lat", "lng",
-                                          F.explode("name_keys").alias("name"))
+    near = settle(near.where(F.col("name").isNotNull()))
+    held = settle(entities.where(located).select("business_id", "city_id", "lat", "lng",
+                                                 F.explode("name_keys").alias("name")))
     place = ["city_id", "name", "lat", "lng"]
     equal = settle(min_id_within(near, held, ["city_id", "name"], meters, "business_id"))
     asked = near.select(*place).distinct()

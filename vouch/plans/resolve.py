@@ -5,11 +5,13 @@ The rules are: the same record was seen before; else a shared link within 1 km;
 order of sources and ids, so the result depends on what came before: a listing that joins an
 entity lends it its links and fills its gaps.
 
-What can depend on what is much less than everything. Listings that share a link, have one name
+No city has a say in another. A city of at most ``WALK`` listings and entities is walked in order by
+one call, all cities at once. In a larger city, what can depend on what is still much less than
+everything. Listings that share a link, have one name
 in a city, have similar names within reach, or could both move an entity without a place, are
 connected; nothing outside a component has a say in it (``influence``). Components come from
 pointer doubling, so a line of neighbours costs the logarithm of its length. Each component of at
-most ``WALK`` rows is then walked in order by one call, all components at once.
+most ``WALK`` rows is walked alone.
 
 A component beyond that (a link or name that holds a great share of a city) is settled in rounds
 over all its listings at once: match the open ones to the entities known so far; of the rest,
@@ -42,7 +44,7 @@ from vouch.operators.matching import (
 from vouch.operators.near_names import similar_names, similar_within
 from vouch.operators.ranking import survivorship
 
-#: Most listings and known entities of a component that one call walks (a few MB).
+#: Most listings and known entities, of a city or a component, that one call walks (a few MB).
 WALK = 20_000
 
 
@@ -171,11 +173,23 @@ def walk(listings: pa.Table, entities: pa.Table) -> pa.Table:
     cells: dict[tuple[int, int], set[str]] = defaultdict(set)
     tall = fv.NEARBY_METERS / geo.METERS_PER_DEGREE * 1.001
 
+    def cell(at: tuple[float, float], band: int) -> tuple[int, int]:
+        # as wide as the reach where the band is narrowest
+        far = min(max(abs(band), abs(band + 1)) * tall, 89.9)
+        return band, int(at[1] * math.cos(math.radians(far)) // tall)
+
+    def around(at: tuple[float, float]):
+        band = int(at[0] // tall)
+        for k in (band - 1, band, band + 1):
+            row, column = cell(at, k)
+            for c in (column - 1, column, column + 1):
+                yield from cells.get((row, c), ())
+
     def place(e: dict, row: dict) -> None:
         """An entity takes what it lacks from a row, and the row's links."""
         if e.get("at") is None and row["lat"] is not None and row["lng"] is not None:
             e["at"] = (row["lat"], row["lng"])
-            cells[int(row["lat"] // tall), 0].add(e["id"])
+            cells[cell(e["at"], int(row["lat"] // tall))].add(e["id"])
         for name, key in (("name_fa", "fa_key"), ("name_latin", "latin_key")):
             if e.get(name) is None and row[name] is not None:
                 e[name], e[key] = row[name], row[key]
@@ -195,8 +209,7 @@ def walk(listings: pa.Table, entities: pa.Table) -> pa.Table:
         name = row["name_keys"][0] if row["name_keys"] else ""
         if found is None and at is not None and name:
             best = None
-            band = int(at[0] // tall)
-            for e in (e for k in (band - 1, band, band + 1) for e in cells[k, 0]):
+            for e in around(at):
                 if _apart(at, known[e]["at"]) > fv.NEARBY_METERS:
                     continue
                 for key in (known[e].get("fa_key"), known[e].get("latin_key")):
@@ -222,7 +235,7 @@ RESULT = (*KEY, "business_id", "stage")
 
 def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFrame,
                      entity_links: DataFrame, *, order: tuple[str, ...] = fv.SOURCE_ORDER,
-                     walk_rows: int = WALK) -> DataFrame:
+                     city_rows: int = WALK, walk_rows: int = WALK) -> DataFrame:
     """(key, business_id, stage): stage is record, link, name or new.
 
     ``listings``: source_id, external_id, city_id, name, lat, lng, links, one row per key.
@@ -244,19 +257,26 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
     held_links = cut(entity_links.select("business_id", "kind", "value").unionByName(
         _link_rows(todo.join(known, KEY))).distinct())
     base = cut(_with_both_keys(with_name_keys(_entity_columns(entities), ("name_latin", "name_fa"))))
+    cities = open_.select("city_id").unionByName(base.select("city_id")).groupBy("city_id").count()
+    cities = cut(cities.withColumn("whole", F.col("count") <= city_rows))
+    whole = cities.where("whole").select("city_id")
+    nowhere = open_.where("city_id IS NULL").withColumn("root", F.concat(F.lit("o|"), "_ord"))
+    city = F.concat(F.lit("c|"), F.col("city_id").cast("string")).alias("root")
+    done = done.unionByName(_walked(
+        open_.join(whole, "city_id").select("*", city).unionByName(nowhere),
+        _with_links(base.join(whole, "city_id"), held_links).select("*", city)))
+    larger = cities.where("NOT whole AND city_id IS NOT NULL").select("city_id")
+    if larger.isEmpty():
+        return done
+    open_, base = cut(open_.join(larger, "city_id")), cut(base.join(larger, "city_id"))
     roots = connected(influence(open_, base, held_links)).withColumnRenamed("node", "_ord")
     roots = open_.select("_ord").join(roots, "_ord")
     related = cut(_related(open_, base, held_links, roots))
     rows = roots.select("root").unionByName(related.select("root"))
     sizes = cut(rows.groupBy("root").count())
     small = sizes.where(F.col("count") <= walk_rows).select("root")
-    walked = open_.join(roots.join(small, "root"), "_ord").select(
-        "root", *KEY, "_ord", "lat", "lng", "name_fa", "name_latin", "fa_key", "latin_key",
-        "name_keys", "links")
-    near = related.join(small, "root").withColumnRenamed("root", "_root")
-    walked = walked.groupBy("root").cogroup(near.groupBy("_root")).applyInArrow(
-        walk, ", ".join(f"{c} string" for c in RESULT))
-    done = done.unionByName(walked)
+    done = done.unionByName(_walked(open_.join(roots.join(small, "root"), "_ord"),
+                                    related.join(small, "root")))
     large = sizes.where(F.col("count") > walk_rows).select("root")
     if large.isEmpty():
         return done
@@ -264,6 +284,19 @@ def resolve_entities(listings: DataFrame, entities: DataFrame, records: DataFram
     return done.unionByName(_in_rounds(large, base, held_links))
 
 
+def _walked(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``walk`` for every ``root``."""
+    columns = ["lat", "lng", "name_fa", "name_latin", "fa_key", "latin_key", "links"]
+    left = open_.select("root", *KEY, "_ord", "name_keys", *columns).groupBy("root")
+    right = known.select(F.col("root").alias("_root"), "business_id", *columns).groupBy("_root")
+    return left.cogroup(right).applyInArrow(walk, ", ".join(f"{c} string" for c in RESULT))
+
+
+def _with_links(base: DataFrame, held_links: DataFrame) -> DataFrame:
+    links = held_links.groupBy("business_id").agg(F.collect_set(F.struct("kind", "value")).alias("links"))
+    return base.join(links, "business_id", "left")
+
+
 def _in_rounds(open_: DataFrame, base: DataFrame, held_links: DataFrame) -> DataFrame:
     some, done = not base.isEmpty(), None
     while True:  # every round settles at least the first open listing

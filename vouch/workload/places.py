@@ -136,7 +136,7 @@ def _(t):
 def _(t):
     a = t("listing").select("city_id", tx.normalize_name("name").alias("name"))
     b = t("entity").select("city_id", tx.normalize_name("name_latin").alias("r_name"))
-    return near_names.similar_names(a, b, ["city_id"], settle=cut).select(
+    return near_names.similar_names(cut(a), cut(b), ["city_id"], settle=cut).select(
         F.col("name").alias("a"), F.col("r_name").alias("b"),
         F.round("similarity", 6).alias("similarity"))
 
@@ -151,7 +151,7 @@ SELECT external_id, business_id, round(sim, 6) AS similarity FROM (SELECT l.exte
 
 @query("jn_5_nearby_match", NEAREST, "listing entity", SIMILAR)
 def _(t):
-    df = matching.nearby_match(t("listing"), t("entity"))
+    df = matching.nearby_match(t("listing"), t("entity"), settle=cut)
     return df.select("external_id", "business_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -163,7 +163,7 @@ def _(t):
     held = t("entity").select("business_id", "city_id", F.col("lat").alias("r_lat"),
                               F.col("lng").alias("r_lng"),
                               tx.normalize_name("name_latin").alias("r_name")).where("lat IS NOT NULL")
-    near, held = near.where("name <> ''"), held.where("r_name <> ''")
+    near, held = cut(near.where("name <> ''")), cut(held.where("r_name <> ''"))
     alike = near_names.similar_within(near, held, ["city_id"], fv.NEARBY_METERS, settle=cut)
     named = near.withColumn("r_name", F.col("name")).withColumn("similarity", F.lit(100.0))
     equal = spatial.pairs_within(named, held, ["city_id", "r_name"], fv.NEARBY_METERS)
