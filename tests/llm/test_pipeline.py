@@ -131,7 +131,8 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
     rows, labels = fixture(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     clash = docs.select("*", *[F.lit(n).alias(n) for n in (
-        "score", "flagged", "spans", "redacted", "fp", "root", "size", "copies", "held_out")])
+        "score", "flagged", "spans", "redacted", "fp", "root", "size", "copies", "held_out", "_row1",
+        "_row2", "_id", "_k", "_text", "_copies", "_before", "each", "n", "k_text")])
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, clash, str(tmp_path))
         assert out.columns[:len(clash.columns)] == clash.columns

@@ -125,10 +125,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     found = copies(docs, **options).select("_row1", "_row2", boundaries(
         F.col("_before"), F.col("n") * F.col("each")).cast("int").alias("_copies"))
-    hashed = docs.select("*", *row_hashes(docs)).dropDuplicates(["_row1", "_row2"])
+    hashed = docs.select(*row_hashes(docs), *[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns])
+    hashed = hashed.dropDuplicates(["_row1", "_row2"])
     joined = hashed.join(found.where("_copies > 0"), ["_row1", "_row2"])
     return (joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[F.col(f"`k_{c}`").alias(c) for c in docs.columns]))
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

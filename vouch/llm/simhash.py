@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import prefixed, read, text_slices, words_of
+from vouch.llm.common import read, text_slices, words_of
 from vouch.llm.components import components
 from vouch.llm.mixing import row_hashes
 from vouch.operators.lineage import cut
@@ -206,16 +206,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without all but one document of each class: the one of
     the smallest doc_id (nulls last), then of the smallest hash of the row."""
-    hashed = prefixed(docs.select("*", *row_hashes(docs)))
-    slim = cut(fingerprints(hashed, f"k_{text}", [f"k_{doc_id}", "k__row1", "k__row2"]).toDF(
+    hashed = docs.select(*row_hashes(docs), *[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns])
+    slim = cut(fingerprints(hashed, f"k_{text}", [f"k_{doc_id}", "_row1", "_row2"]).toDF(
         "_id", "_row1", "_row2", "fp"))
     roots = classes(slim)
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row1", "_row2"))
     least = slim.groupBy("fp").agg(first.alias("_first"))
     kept = (least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("_first").alias("_first")).select("_first._row1", "_first._row2"))
-    return (docs.select("*", *row_hashes(docs)).dropDuplicates(["_row1", "_row2"])
-            .join(kept, ["_row1", "_row2"], "left_semi").drop("_row1", "_row2"))
+    return (hashed.dropDuplicates(["_row1", "_row2"]).join(kept, ["_row1", "_row2"], "left_semi")
+            .select(*[F.col(f"`k_{c}`").alias(c) for c in docs.columns]))
 
 
 def op9_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
