@@ -382,43 +382,48 @@ def streaming(name: str, sql: str, views: str = ""):
 
 
 @streaming("ss_2_report_threshold", """
-SELECT user_id % 97 AS business_id, count(*) AS reports, count(*) >= 20 AS hide FROM events
-WHERE event_type = 'error' GROUP BY 1""")
+SELECT user_id % 97 AS business_id, 20 AS reports FROM events WHERE event_type = 'error'
+GROUP BY 1 HAVING count(*) >= 20""")
 def _(spark, sf_dir):
     stream = event_stream(spark, sf_dir).select(
         (F.col("user_id") % 97).alias("business_id"), F.col("event_type").alias("reason"))
-    return drain(jobs.report_counts(stream, "error", cut=20), "complete")
+    return drain(jobs.report_threshold(stream, "error", cut=20), "append")
 
 
-@streaming("ss_3_usage_days", """
+# a day is closed when it ended a day before the newest event
+CLOSED = "CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
+@streaming("ss_3_usage_days", f"""
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n, count(*) > 5 AS over_cap
-FROM events GROUP BY 1, 2""")
+FROM events WHERE {CLOSED} GROUP BY 1, 2""")
 def _(spark, sf_dir):
-    out = drain(jobs.usage_days(event_stream(spark, sf_dir), "user_id", "ts", cap=5), "complete")
+    out = drain(jobs.usage_days(event_stream(spark, sf_dir), "user_id", "ts", cap=5), "append")
     return out.withColumn("day", F.col("day").cast("string"))
 
 
-@streaming("ss_3_usage_months", """
+@streaming("ss_3_usage_months", f"""
 SELECT event_type, strftime(ts, '%Y-%m') AS period, count(*) AS used, CASE event_type
   WHEN 'click' THEN count(*) > 1500 WHEN 'view' THEN count(*) > 10 ELSE false END AS over_cap
-FROM events GROUP BY 1, 2""")
+FROM events WHERE {CLOSED} GROUP BY 1, 2""")
 def _(spark, sf_dir):
     caps = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().select(
         "event_type", F.when(F.col("event_type") == "click", 1500)
         .when(F.col("event_type") == "view", 10).alias("monthly_cap"))
-    out = drain(jobs.usage_months(event_stream(spark, sf_dir), "event_type", "ts", caps), "complete")
-    return out.select("event_type", "period", "used", "over_cap")
+    days = drain(jobs.usage_days(event_stream(spark, sf_dir), "event_type", "ts"), "append")
+    return jobs.usage_months(days, "event_type", caps).select("event_type", "period", "used",
+                                                              "over_cap")
 
 
 @streaming("ss_4_recheck_due", """
-SELECT user_id, CAST(CAST(max(ts) FILTER (event_type <> 'error') AS DATE) AS VARCHAR) AS day
-FROM events GROUP BY 1 HAVING max(ts) FILTER (event_type <> 'error') IS NULL
-  OR max(ts) FILTER (event_type <> 'error') < TIMESTAMP '2024-02-29 20:00:00' - INTERVAL 30 DAYS""")
+SELECT user_id, CAST(CAST(last AS DATE) AS VARCHAR) AS day FROM (SELECT user_id,
+    max(ts) FILTER (event_type <> 'error') AS last FROM events GROUP BY 1) t
+WHERE last IS NULL OR last + INTERVAL 1 DAY < (SELECT max(ts) FROM events)""")
 def _(spark, sf_dir):
     checks = event_stream(spark, sf_dir).select(
         "user_id", F.col("ts").alias("checked_at"), (F.col("event_type") == "error")
         .alias("retryable"))
-    out = drain(jobs.due_for_recheck(checks, "user_id", "2024-02-29 20:00:00"), "complete")
+    out = drain(jobs.recheck_timer(checks, "user_id", days=1), "append")
     return out.select("user_id", F.to_date("last_checked").cast("string").alias("day"))
 
 
