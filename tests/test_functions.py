@@ -39,47 +39,76 @@ def test_script_class(spark):
 
 
 def test_name_split(spark):
-    name = "Garden Florist | گلفروشی پروانه"
+    """The Arabic-script run and what stands around it; each side alone; outer separators go."""
+    cases = {
+        "Cedar (پنجره) Hall": ("پنجره", "Cedar ( ) Hall"),
+        "پنجره / Cedar": ("پنجره", "Cedar"),
+        "[Cedar] – پنجره": ("پنجره", "Cedar"),
+        "  Cedar  Hall ": (None, "Cedar  Hall"),
+        "پنجره چوبی": ("پنجره چوبی", None),
+        "": (None, None),
+    }
     persian, latin = tx.split_name("v")
-    assert column(spark, [name, "Isfahan Pantry", "انباری اصفهان"], persian) == [
-        "گلفروشی پروانه", None, "انباری اصفهان"]
-    assert column(spark, [name, " Isfahan Pantry ", "انباری اصفهان"], latin) == [
-        "Garden Florist", "Isfahan Pantry", None]
-
-
-NAMES = [
-    ("Laleh Persian Bistro", {"explicit_keyword"}, "medium"),
-    ("Tabriz Hypermarket", {"iranian_place_name"}, "low"),
-    ("Garden Florist | گلفروشی پروانه", {"persian_script_name"}, "medium"),
-    ("Persian Carpet Cleaning Co", {"persian_product_term"}, None),
-    ("Nomad Rugs Ltd (Persian tribal rugs, bought and sold by weight)", {"persian_product_term"},
-     None),
-    ("Autos by Tabrizi", {"persian_personal_name"}, None),
-    ("د ګلونو پلورنځی", set(), None),
-    ("Star Books مكتبة النجمة", set(), None),
-    ("Nevada Burgers", set(), None),
-    ("Herat Afghan Grill", {"negative_keyword"}, None),
-    ("Reza Hosseinzadeh MD", {"persian_personal_name"}, None),
-    ("Lakewood Knee & Hip: Daniel Bastani, MD", set(), None),
-    ("Dua and Daughters, A Law Corp", set(), None),
-    ("Chelo's Nail Studio", set(), None),
-    ("Caspian Breeze Tea", {"iranian_place_name"}, None),
-    ("Kish Candy", {"iranian_place_name"}, None),
-    ("Pars Auto Glass", {"iranian_place_name"}, "low"),
-    ("Susan Parsi Md Inc", {"iranian_place_name"}, None),
-    ("Chelo Kabab Garden", {"iranian_food_terms"}, "low"),
-]
-
-
-def test_listing_names(spark):
-    found = detected(spark, [("name", n) for n, _, _ in NAMES])
-    assert [{s[0] for s in row} for row in found] == [s for _, s, _ in NAMES]
-    df = spark.createDataFrame([(i, n, "name", None) for i, (n, _, _) in enumerate(NAMES)],
-                               "i int, text string, kind string, url string")
-    out = sg.field_signals(df, sg.Lexicon.default())
-    score = sg.signal_score(sg.strongest(F.col("signals")))
-    labels = out.select("i", scoring.confidence_label(score).alias("l")).orderBy("i").collect()
-    assert [r.l for r in labels] == [label for _, _, label in NAMES]
+    assert column(spark, list(cases), persian) == [p for p, _ in cases.values()]
+    assert column(spark, list(cases), latin) == [n for _, n in cases.values()]
+
+
+#: Which list of the lexicon makes which signal of a name.
+LIST_SIGNALS = {
+    "explicit": "explicit_keyword", "places": "iranian_place_name",
+    "places_ambiguous": "iranian_place_name", "place_adjectives": "persian_personal_name",
+    "foods": "iranian_food_terms", "occasions": "nowruz_yalda_mentions",
+    "negative": "negative_keyword",
+}
+
+
+def test_each_list_makes_its_signal_and_near_misses_none(spark):
+    lists = {k: v.strip().splitlines() for k, v in fv.DEFAULT_LEXICON.items()}
+    latin = {k: [t for t in lists[k] if t.isascii()][::7] for k in LIST_SIGNALS}
+    hits = [(k, f"Unit {t.upper()} 24") for k, terms in latin.items() for t in terms]
+    misses = [(k, f"Unit q{t}q 24") for k, terms in latin.items() for t in terms]
+    found = [{s[0] for s in row} for row in detected(spark, [("name", n) for _, n in hits + misses])]
+    for (k, name), signals in zip(hits, found, strict=False):
+        assert LIST_SIGNALS[k] in signals, name
+    assert all(not signals for signals in found[len(hits):])
+
+
+def test_rules_of_names(spark):
+    """One case a rule: a hit, its near miss, and rules that meet."""
+    lists = {k: v.strip().splitlines() for k, v in fv.DEFAULT_LEXICON.items()}
+    product, adjective = lists["product_terms"][0], lists["product_adjectives"][0]
+    place, food, suffix = lists["places"][0], lists["foods"][0], lists["surname_suffixes"][0]
+    cases = [
+        (f"{adjective} {product}", {"persian_product_term"}),
+        (f"{adjective} lamps", {"explicit_keyword"}),
+        (f"green {product}", set()),
+        (f"Dr Olm{suffix.lower()}", {"persian_personal_name"}),
+        (f"{suffix} lamps", set()),
+        (f"{place} {food}", {"iranian_place_name", "iranian_food_terms"}),
+        (f"{lists['negative'][0]} {food}", {"negative_keyword", "iranian_food_terms"}),
+        ("پنجره چوبی", {"persian_script_name"}),
+        ("شباك", set()),
+    ]
+    found = [{s[0] for s in row} for row in detected(spark, [("name", n) for n, _ in cases])]
+    assert dict(zip([n for n, _ in cases], found, strict=True)) == dict(cases)
+
+
+def test_labels_follow_the_score(spark):
+    weights = [(), (0.3,), (0.6,), (0.6, 0.5), (0.8, 0.6)]
+    array = F.transform("v", lambda w, i: F.struct(
+        F.concat(F.lit("s"), i.cast("string")).alias("signal"), w.alias("weight")))
+    scores = column(spark, [([float(x) for x in w],) for w in weights], sg.signal_score(array),
+                    "v array<double>")
+    want = []
+    for w in weights:
+        rest = 1.0
+        for x in w:
+            rest *= 1 - x
+        want.append(round(1 - rest, 6))
+    assert [round(s, 6) for s in scores] == want
+    labels = column(spark, scores, scoring.confidence_label("v"), "v double")
+    assert labels[0] is None and labels[-1] == "high" and labels == sorted(
+        labels, key=lambda x: [None, "low", "medium", "high"].index(x))
 
 
 def test_keyword_rules(spark):
@@ -138,7 +167,9 @@ def test_snippet_cuts_context(spark):
 
 def test_every_positive_text_passes_the_coarse_test(spark):
     lex = sg.Lexicon.default()
-    names = [n for n, s, _ in NAMES if s - {"negative_keyword"}]
+    lists = {k: v.strip().splitlines() for k, v in fv.DEFAULT_LEXICON.items()}
+    names = [f"Unit {t} 24" for k, s in LIST_SIGNALS.items() if s != "negative_keyword"
+             for t in lists[k]]
     assert all(column(spark, names, lex.any_positive(tx.fold("v"), F.col("v"))))
 
 
