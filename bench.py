@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = [
     "ag_2_noisy_or", "pl_6_rescore", "ag_5_top_category_counts", "ag_9_coverage",
     "ag_11_precision_by_level", "ag_13_what_if_weights", "pl_9_search", "so_2_markers_topk",
-    "jn_1_city_box_join", "jn_4_link_match", "jn_5_nearby_match", "fn_4_keyword_signals",
+    "jn_1_city_box_join", "jn_4_link_match", "jn_5_nearby_match", "pl_1_resolve_entities", "fn_4_keyword_signals",
     "fn_22_page_text", "sc_3_places_to_listing", "pl_2_detect_and_place", "pl_2_scan_to_score", "st_1_missing_records",
     "ag_20_monthly_quota",
 ]

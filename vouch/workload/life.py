@@ -275,17 +275,24 @@ def _(t):
 
 
 @query("pl_4_stale_record", f"""
-SELECT r.source_id, r.external_id, r.business_id, coalesce(e.n, 0) AS evidence FROM record r
-LEFT JOIN (SELECT source_id, external_id, count(*) AS n FROM evidence GROUP BY 1, 2) e
-  ON e.source_id = r.source_id AND e.external_id = r.external_id AND r.fetched_at >= {CUT}
-""", "record evidence")
+SELECT r.source_id, r.external_id, r.business_id, coalesce(e.n, 0) AS evidence,
+  coalesce(e.again, 0) AS again
+FROM record r LEFT JOIN (SELECT v.source_id, v.external_id,
+    count(*) FILTER (o.fetched_at >= {CUT} OR v.weight > 0.2) AS n,
+    count(*) FILTER (o.fetched_at < {CUT} AND v.weight > 0.2) AS again
+  FROM evidence v JOIN record o USING (source_id, external_id) GROUP BY 1, 2) e
+  USING (source_id, external_id)""", "record evidence")
 def _(t):
+    # stale records were read again: their stronger signals were found anew, the others were not
     stale = t("record").where(F.col("fetched_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    fresh = t("evidence").where(F.lit(False))
+    key = ["source_id", "external_id"]
+    fresh = t("evidence").where("weight > 0.2").join(stale.select(*key), key).withColumn(
+        "snippet", F.lit("again"))
     left = up.replace_evidence(t("evidence"), stale, fresh)
-    n = left.groupBy("source_id", "external_id").agg(F.count(F.lit(1)).alias("evidence"))
-    return t("record").select("source_id", "external_id", "business_id").join(
-        n, ["source_id", "external_id"], "left").na.fill(0, ["evidence"])
+    n = left.groupBy(*key).agg(F.count(F.lit(1)).alias("evidence"),
+                               F.count_if(F.col("snippet") == "again").alias("again"))
+    return t("record").select(*key, "business_id").join(n, key, "left").na.fill(
+        0, ["evidence", "again"])
 
 
 @query("pl_3_merge_entity", """

@@ -352,15 +352,14 @@ def _(t):
 
 
 @query("ud_2_lexicons", """
-SELECT k FROM named WHERE regexp_matches(name, '(^|[^a-z])(gear|ring)($|[^a-z])')""", "", NAMED)
+SELECT DISTINCT k, term FROM named JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term
+  FROM part) w ON list_contains(string_split_regex(lower(name), '[^a-z0-9]+'), term)""", "", NAMED)
 def _(t):
-    # the lexicon is a table: the nouns of two parts
-    nouns = t("part").select(F.substring_index("p_name", " ", -1).alias("term")).distinct().where(
-        F.col("term").isin("gear", "ring")).withColumn("list", F.lit("explicit"))
-    lex = dims.lexicon_from_table(nouns)
-    df = named(t).select("k", F.col("name").alias("text"), F.lit("page").alias("kind"),
-                         F.lit(None).cast("string").alias("url"))
-    return sg.signal_rows(sg.field_signals(df, lex, script=False), "k").select("k")
+    # the lexicon is a table that grows with its source: all words of the parts
+    words = t("part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    found = sg.match_term_table(named(t).select("k", F.col("name").alias("text")),
+                                words.withColumn("list", F.lit("explicit")), key=["k"])
+    return found.select("k", "term")
 
 
 @query("ud_4_category_map", """
