@@ -6,13 +6,15 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import read, text_slices
+from vouch.llm.common import read, text_bytes, text_slices
 from vouch.operators.lineage import cut
 
 #: Characters of a chunk; longer texts are split.
@@ -234,10 +236,14 @@ def digest(edges: list[int], start: int, lengths: np.ndarray) -> int:
     chunks of a text add up to that of the text."""
     a = np.array(edges, np.int64)
     size = np.where(a < UNKNOWN, lengths[np.minimum(a, len(lengths) - 1)], 1)
-    at = (start + np.cumsum(size) - size).astype(np.uint64)
-    x = (at * np.uint64(0x9E3779B97F4A7C15)) ^ (a.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    return int(mix(start + np.cumsum(size) - size, a).sum())
+
+
+def mix(at: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """A 32-bit number for each place and edge."""
+    x = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (a.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return int((x >> np.uint64(32)).sum())
+    return (x >> np.uint64(32)).astype(np.int64)
 
 
 COUNTED = "n_pieces long, n_bytes long, ids_digest long, round_trip boolean"
@@ -250,6 +256,75 @@ def _count(pieces: Pieces, edges: list[int], text: str, start: int, lengths: np.
             pieces.decode(listed) == text.encode(), listed)
 
 
+def _places(sizes: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the entries of the lists ``which``, one list after the other."""
+    n = sizes[which]
+    return np.repeat(starts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _encoded(pieces: Pieces, texts: pa.Array, lengths: np.ndarray) -> list[pa.Array]:
+    """``COUNTED`` and ids of whole texts: each distinct word of the texts is segmented once."""
+    empty = pc.equal(pc.binary_length(texts), 0)
+    data, bounds = text_bytes(pc.if_else(empty, "", pc.binary_join_element_wise(" ", texts, "")))
+    begins = np.zeros(len(data), bool)
+    if pieces.split and len(data):
+        begins[1:] = (data[1:] == 0x20) & (data[:-1] != 0x20)
+    begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    places = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.large_string(), len(places), [
+        None, pa.py_buffer(np.append(places, len(data)).astype(np.int64)),
+        pa.py_buffer(np.ascontiguousarray(data))])
+    codes = pc.dictionary_encode(words)
+    which = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = codes.dictionary.to_pylist()
+    edges = [pieces.word(w) if pieces.split else pieces.segment(w) for w in distinct]
+    n_edges = np.fromiter(map(len, edges), np.int64, len(edges))
+    flat = np.fromiter(chain.from_iterable(edges), np.int64, int(n_edges.sum()))
+    # characters without a piece become their bytes
+    odd = np.flatnonzero(flat >= UNKNOWN)
+    raw = [chr(int(flat[k]) - UNKNOWN).encode() for k in odd.tolist()]
+    each = np.ones(len(flat), np.int64)
+    each[odd] = [len(r) for r in raw]
+    flat_ids = np.repeat(np.where(flat < UNKNOWN, flat, 0), each)
+    where = np.cumsum(each) - each
+    flat_ids[_places(each[odd], where[odd], np.arange(len(odd)))] = pieces.byte_ids[
+        np.frombuffer(b"".join(raw), np.uint8)]
+
+    def per_word(of_id: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(of_id)])[np.concatenate([[0], np.cumsum(each)])]
+        ends = np.concatenate([[0], np.cumsum(n_edges)])
+        return total[ends[1:]] - total[ends[:-1]]
+
+    n_ids = per_word(np.ones(len(flat_ids), np.int64))
+    n_bytes = per_word(pieces.is_byte[flat_ids].astype(np.int64))
+    want = [w.encode() for w in distinct]
+    decoded = list(map(pieces.texts.__getitem__, flat_ids.tolist()))
+    back = per_word(np.fromiter(map(len, decoded), np.int64, len(decoded))) == np.fromiter(
+        map(len, want), np.int64, len(want))
+    if b"".join(decoded) != b"".join(want):
+        ends = np.cumsum(n_ids).tolist()
+        back = np.array([b"".join(decoded[e - n:e]) == w
+                         for e, n, w in zip(ends, n_ids.tolist(), want, strict=True)], bool)
+    word_starts = np.searchsorted(places, bounds)
+
+    def per_text(of_word: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(of_word[which])])
+        return total[word_starts[1:]] - total[word_starts[:-1]]
+
+    way = flat[_places(n_edges, np.cumsum(n_edges) - n_edges, which)]
+    ends = np.concatenate([[0], np.cumsum(per_text(n_edges))])
+    size = np.where(way < UNKNOWN, lengths[np.minimum(way, len(lengths) - 1)], 1)
+    at = np.concatenate([[0], np.cumsum(size)])
+    at = at[:-1] - np.repeat(at[ends[:-1]], np.diff(ends))
+    mixed = np.concatenate([[0], np.cumsum(mix(at, way))])
+    counts = per_text(n_ids)
+    listed = flat_ids[_places(n_ids, np.cumsum(n_ids) - n_ids, which)]
+    return [pa.array(counts), pa.array(per_text(n_bytes)), pa.array(mixed[ends[1:]] - mixed[ends[:-1]]),
+            pa.array(per_text((~back).astype(np.int64)) == 0),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
+                                     pa.array(listed, pa.int32()))]
+
+
 def _lengths(pieces: Pieces) -> np.ndarray:
     return np.array([len(t.decode("utf-8", "replace")) for t in pieces.texts], np.int64)
 
@@ -285,10 +360,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
         vocabulary.remembered.clear()  # a worker keeps what is broadcast, and with it the words
         for batch in batches:
             for part, texts in text_slices(batch, "_text", STEP_BYTES):
-                found = [_count(vocabulary, vocabulary.encode(t), " " + t if t else "", 0, lengths)
-                         for t in texts.to_pylist()]
-                columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(
-                    [pa.int64()] * 3 + [pa.bool_()] + [pa.list_(pa.int32())] * with_ids)]
+                columns = _encoded(vocabulary, texts, lengths)[:4 + with_ids]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns],
                                                  [*part.schema.names[:-1], *names[:len(columns)]])
         vocabulary.remembered.clear()
