@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import mixing, pieces, pii, simhash, toxicity
+from vouch.llm import mixing, near_copies, pieces, pii, toxicity
 from vouch.llm.common import prefixed, read
 from vouch.operators.lineage import shared_folder
 
@@ -20,8 +20,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each class of near copies (five-word shingles, Jaccard similarity 0.8 or
+    more, met by balls of fingerprints) stays, that of the smallest doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

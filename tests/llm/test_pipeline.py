@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_simhash import brute_print, brute_roots
+from tests.llm.test_near_copies import brute_classes
 from vouch.llm import mixing, pieces, pii, toxicity
 
 
@@ -85,13 +85,12 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert 0 < len(rows) - len(left) < 130
     assert sum("zonk" in (r[1] or "") for r in left) < 10
 
-    prints = [brute_print(r[1]) for r in left]
-    roots = brute_roots(sorted(set(prints)))
+    roots = brute_classes([r[1] for r in left])
     first = {}
-    for r, p in zip(left, prints):
+    for r, root in zip(left, roots):
         key = (r[0] is None, r[0] or 0)
-        if roots[p] not in first or key < first[roots[p]][0]:
-            first[roots[p]] = (key, r)
+        if root not in first or key < first[root][0]:
+            first[root] = (key, r)
     unique = [r for _, r in first.values()]
 
     chain = pii.train()
@@ -132,7 +131,7 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     clash = docs.select("*", *[F.lit(n).alias(n) for n in (
         "score", "flagged", "spans", "redacted", "fp", "root", "size", "copies", "held_out", "_row1",
-        "_row2", "_id", "_k", "_text", "_copies", "_before", "each", "n", "k_text")])
+        "_row2", "_id", "_k", "_text", "_copies", "_before", "each", "n", "k_text", "node", "grp", "s0", "label", "a")])
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, clash, str(tmp_path))
         assert out.columns[:len(clash.columns)] == clash.columns
