@@ -12,6 +12,7 @@ from vouch.operators.evidence import noisy_or
 from vouch.plans import index
 from vouch.sources import dims, directories, places, registries, tables, wiki
 from vouch.sources import listing as ls
+from vouch.sources.json_array import read_json_array
 from vouch.workload.life import scratch
 from vouch.workload.views import QUERIES, query, view
 
@@ -40,6 +41,21 @@ def shaped(df: DataFrame, schema) -> DataFrame:
                        .cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def landed(rows: DataFrame, form: str, schema=None) -> DataFrame:
+    """The rows written in a source's file form to the shared folder, and read by its reader."""
+    spark = rows.sparkSession
+    place = scratch(spark)
+    if form == "csv":
+        rows.write.csv(place, header=True, escape='"')
+        return registries.read_csv(spark, place)
+    if form == "lines":
+        rows.write.json(place)
+        return registries.read_json(spark, place, schema)
+    # objects with commas between them, without a line break
+    rows.select(F.to_json(F.struct("*"))).write.option("lineSep", ",").text(place)
+    return read_json_array(spark, place, schema)
+
+
 def place_rows(t) -> DataFrame:
     k = F.col("k")
     x, y = -100 + (k % 40).cast("double"), 30 + (k % 20).cast("double")
@@ -136,7 +152,9 @@ SELECT CASE k % 2 WHEN 0 THEN 'node/' ELSE 'way/' END || CAST(k AS VARCHAR) AS e
   CASE k % 3 WHEN 0 THEN 'bakery' ELSE 'doctor' END AS category, k % 5 = 0 AS tagged
 FROM named WHERE k % 3 <> 2""", "", NAMED)
 def _(t):
-    df = places.osm_to_listing(elements(t))
+    place = scratch(t("part").sparkSession)
+    elements(t).write.json(place)
+    df = places.osm_to_listing(places.read_osm(t("part").sparkSession, place))
     return df.select("external_id", "name", "lat", "category", (F.size("signals") > 0)
                      .alias("tagged"))
 
@@ -161,7 +179,8 @@ def _(t):
         .otherwise("SOME PERSON").alias("business_name"),
         F.when(k % 2 == 0, "722511").otherwise("541110").alias("naics"),
         F.struct(at.alias("latitude"), F.lit("-118.4").alias("longitude")).alias("location_1"))
-    df = registries.la_listings(shaped(rows, schemas.LA_LICENCE))
+    read = landed(shaped(rows, schemas.LA_LICENCE), "lines", schemas.LA_LICENCE)
+    df = registries.la_listings(read)
     return df.select("external_id", "name", "lat", "category")
 
 
@@ -176,8 +195,8 @@ def _(t):
         F.concat(F.lit("("), "name", F.lit(")")).alias("businessname"), F.lit("Issued").alias("status"),
         text(F.col("nation") + 20).alias("folderyear"), text(k % 50).alias("house"),
         F.lit("MAIN ST").alias("street"), F.col("segment").alias("businesstype"))
-    df = registries.vancouver_listings(shaped(rows, schemas.VANCOUVER_LICENCE),
-                                       tuple(str(y) for y in range(25, 41)))
+    df = registries.vancouver_listings(
+        landed(shaped(rows, schemas.VANCOUVER_LICENCE), "lines", schemas.VANCOUVER_LICENCE), tuple(str(y) for y in range(25, 41)))
     return df.select("external_id", F.get_json_object("raw", "$.year").cast("int").alias("year"))
 
 
@@ -200,7 +219,7 @@ def _(t):
         F.lit("TORONTO").alias("Licence Address Line 2"),
         F.lit(None).cast("string").alias("Licence Address Line 3"),
         F.col("segment").alias("Category"))
-    df = registries.toronto_listings(rows, spots(t, "TORONTO | ca"), LEX)
+    df = registries.toronto_listings(landed(rows, "csv"), spots(t, "TORONTO | ca"), LEX)
     return df.select("external_id", "name", "lat")
 
 
@@ -231,7 +250,7 @@ def _(t):
         F.concat(text("k"), F.lit(" MAIN ST, TORONTO, S"), text(F.col("nation") % 3),
                  F.lit(" | ca")).alias("query"),
         (43.0 + (F.col("k") % 10) / 10).alias("lat"), F.lit(-79.4).alias("lng"))
-    return registries.nonprofit_listings(rows, registries.CRA, gaz, boxes(t, "CA"), LEX).select(
+    return registries.nonprofit_listings(landed(rows, "csv"), registries.CRA, gaz, boxes(t, "CA"), LEX).select(
         "external_id", "name")
 
 
@@ -247,8 +266,9 @@ def _(t):
         F.when(k % 4 == 0, "Removed").otherwise("Registered").alias("charity_registration_status"),
         F.concat(text("k"), F.lit(" MAIN ST")).alias("charity_contact_address1"),
         F.lit("LONDON").alias("charity_contact_address2"))
-    df = registries.nonprofit_listings(shaped(rows, schemas.UK_CHARITY), registries.UK,
-                                       spots(t, "LONDON | gb"), boxes(t, "GB"), LEX)
+    read = landed(shaped(rows, schemas.UK_CHARITY), "array", schemas.UK_CHARITY)
+    df = registries.nonprofit_listings(read, registries.UK, spots(t, "LONDON | gb"),
+                                       boxes(t, "GB"), LEX)
     return df.select("external_id", "name")
 
 
@@ -274,7 +294,8 @@ def _(t):
         F.array(site("a", "56.10A", F.lit("A")),
                 site("b", "86.23Z", F.when(k % 2 == 0, "F").otherwise("A")))
         .alias("matching_etablissements"))
-    df = registries.fr_company_listings(shaped(rows, schemas.FR_COMPANY), boxes(t, "FR"), LEX)
+    read = landed(shaped(rows, schemas.FR_COMPANY), "lines", schemas.FR_COMPANY)
+    df = registries.fr_company_listings(read, boxes(t, "FR"), LEX)
     return df.select("external_id", "name", "category")
 
 
@@ -317,7 +338,8 @@ def _(t):
             F.lit("Point(-79.4 "), text(k % 80), F.lit(".5)")))).alias("coord"),
         value(F.when(F.col("segment") == "BUILDING", "High School").otherwise("thing"))
         .alias("types"))
-    return wiki.item_listings(shaped(rows, schemas.WIKIDATA_BINDING)).select(
+    return wiki.item_listings(landed(shaped(rows, schemas.WIKIDATA_BINDING), "array",
+                                     schemas.WIKIDATA_BINDING)).select(
         "external_id", "name", "lat", "category")
 
 
