@@ -117,22 +117,42 @@ def slug_dedupe(cities: DataFrame, taken: DataFrame) -> DataFrame:
     return df.drop("_used", "position", "_base", "_plain")
 
 
-def search_page(results: DataFrame, sort: str, page: int, page_size: int, *,
-                lat: float | None = None, lng: float | None = None) -> DataFrame:
-    """One page of results: by confidence, name or distance; the id breaks every tie."""
-    name = F.coalesce("name_latin", "name_fa")
+def page_key(sort: str, *, lat: float | None = None, lng: float | None = None) -> Column:
+    """The place of a result in the order of ``sort`` as one comparable struct: by confidence, name
+    or distance, missing values last; the id breaks every tie. It is also the cursor of a page."""
+    def last(c: Column, empty) -> list[Column]:
+        return [c.isNull(), F.coalesce(c, F.lit(empty))]
+
+    name = last(F.coalesce("name_latin", "name_fa"), "")
     if sort == "distance":
         if lat is None or lng is None:
             raise ValueError("sort by distance needs lat and lng")
-        away = distance_m("lat", "lng", F.lit(lat), F.lit(lng))
-        order = [away.asc_nulls_last(), name.asc_nulls_last()]
+        parts = [*last(distance_m("lat", "lng", F.lit(lat), F.lit(lng)), 0.0), *name]
     elif sort == "name":
-        order = [name.asc_nulls_last()]
+        parts = name
     elif sort == "confidence":
-        order = [F.desc("score"), name.asc_nulls_last()]
+        parts = [*last(-F.col("score"), 0.0), *name]
     else:
         raise ValueError(f"unknown sort {sort!r}")
-    return results.orderBy(*order, "business_id").offset((page - 1) * page_size).limit(page_size)
+    parts.append(F.col("business_id"))
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def search_page(results: DataFrame, sort: str, page: int, page_size: int, *,
+                lat: float | None = None, lng: float | None = None,
+                after: tuple | None = None) -> DataFrame:
+    """One page of results: by confidence, name or distance; the id breaks every tie.
+
+    ``after`` is the ``page_key`` of the last row that was seen. The page then starts right behind
+    it by a filter, so a late page keeps ``page_size`` rows a task like the first; ``page`` counts
+    from there. Without it, earlier pages are skipped, which gathers them in one task."""
+    key = page_key(sort, lat=lat, lng=lng)
+    if after is not None:
+        results = results.where(key > F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(after)]))
+    ordered = results.orderBy(key)
+    if page > 1:
+        ordered = ordered.offset((page - 1) * page_size)
+    return ordered.limit(page_size)
 
 
 def markers(results: DataFrame, limit: int = fv.MAX_MARKERS) -> DataFrame:

@@ -66,12 +66,12 @@ def search(tables, cities: DataFrame, countries: DataFrame, categories: DataFram
            country: str, wanted: list[str], level: str = "low",
            sources: list[str] | None = None, sort: str = "confidence", page: int = 1,
            page_size: int = 20, lat: float | None = None, lng: float | None = None,
-           registries: DataFrame | None = None) -> dict[str, DataFrame]:
+           after: tuple | None = None, registries: DataFrame | None = None) -> dict[str, DataFrame]:
     """total, results (cards of one page), markers and registry links of a search."""
     found = search_results(
         tables.entities, tables.categories, tables.records, tables.links, cities, countries,
         categories, city=city, country=country, wanted=wanted, level=level, sources=sources)
-    one = search_page(found, sort, page, page_size, lat=lat, lng=lng)
+    one = search_page(found, sort, page, page_size, lat=lat, lng=lng, after=after)
     out = {
         "total": found.agg(F.count(F.lit(1)).alias("total")),
         "results": cards(one, tables.categories, tables.records, tables.links, tables.evidence),

@@ -430,6 +430,19 @@ def _(t):
                                                                 "score")
 
 
+@query("so_1_search_page_after", """
+SELECT business_id, name_latin, score FROM found ORDER BY score DESC, name_latin, business_id
+LIMIT 20 OFFSET 60""", FOUND_VIEWS, FOUND)
+def _(t):
+    # the caller keeps the cursor of the last row of the third page
+    seen = rk.search_page(found(t), "confidence", 3, 20).select(
+        rk.page_key("confidence").alias("cursor"))
+    cursor = seen.agg(F.max("cursor").alias("cursor")).first().cursor
+    page = found(t).where("false") if cursor is None else rk.search_page(
+        found(t), "confidence", 1, 20, after=tuple(cursor))
+    return page.select("business_id", "name_latin", "score")
+
+
 @query("so_1_search_page_by_distance", """
 SELECT business_id, name_latin FROM found ORDER BY round(2 * 6371008.8 * asin(sqrt(least(1.0,
     pow(sin((radians(32.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(32.0))
