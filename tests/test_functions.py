@@ -368,3 +368,17 @@ def test_map_urls(spark):
     assert row.google_maps.endswith("query=Shiraz%20%26%20Co%2C%201%20Yonge%20St")
     assert row.apple_maps.endswith("?q=Shiraz%20%26%20Co&ll=43.7,-79.4")
     assert row.openstreetmap.endswith("?mlat=43.7&mlon=-79.4#map=18/43.7/-79.4")
+
+
+def test_a_house_number_is_no_canadian_postal_code(spark):
+    from vouch.operators.filters import geocode_join
+
+    rows = spark.createDataFrame([
+        (1, "10002 MAIN ST, TORONTO", "CA"), (2, "1 MAIN ST, CA 90035", "US"),
+        (3, "10003 MAIN ST, TORONTO, M2M 3S9", "CA")], "k int, address string, country_code string")
+    known = spark.createDataFrame([
+        ("10002 MAIN ST, TORONTO | ca", None, None), ("10002 | ca", 9.0, 9.0),
+        ("90035 | us", 2.0, 2.0), ("M2M 3S9 | ca", 3.0, 3.0)],
+        "query string, lat double, lng double")
+    got = {r.k: (r.lat, r.geocoded) for r in geocode_join(rows, known).collect()}
+    assert got == {1: (None, True), 2: (2.0, True), 3: (3.0, True)}

@@ -62,9 +62,10 @@ def _shape(word: Column) -> Column:
     return F.translate(F.upper(word), letters + digits, "A" * len(letters) + "9" * len(digits))
 
 
-def postal_code(address: ColumnOrName) -> Column:
+def postal_code(address: ColumnOrName, country: ColumnOrName | None = None) -> Column:
     """A Canadian code (letters and digits in turn, in one word or two), else a US code: five
-    digits after which the address has no digit; null without one."""
+    digits after which the address has no digit; null without one. In Canada five digits are no
+    code but the number of a house."""
     words = F.split(col(address), r"[\s,;]+")
 
     def canadian(ws: Column) -> Column:
@@ -78,7 +79,13 @@ def postal_code(address: ColumnOrName) -> Column:
         last = F.try_element_at(numbers, F.lit(-1))
         return F.when(_shape(last) == "99999", last)
 
-    return let(words, lambda ws: F.coalesce(canadian(ws), american(ws)))
+    def code(ws: Column) -> Column:
+        if country is None:
+            return F.coalesce(canadian(ws), american(ws))
+        return F.coalesce(canadian(ws), F.when(
+            F.coalesce(F.upper(col(country)) != "CA", F.lit(True)), american(ws)))
+
+    return let(words, code)
 
 
 def region_code(address: ColumnOrName, country: ColumnOrName) -> Column:
