@@ -55,7 +55,8 @@ def version_path(root: str, batch_id: int) -> str:
 
 
 def report_counts(reports: DataFrame, reason: str, cut: int = fv.HIDE_AFTER_REPORTS) -> DataFrame:
-    """Reports per entity for one reason over a table; ``hide`` from the cut on."""
+    """Reports per entity for one reason, over a table or a stream (update mode); ``hide`` from the
+    cut on."""
     counted = reports.where(F.col("reason") == reason).groupBy("business_id").agg(
         F.count(F.lit(1)).alias("reports"))
     return counted.withColumn("hide", F.col("reports") >= cut)
@@ -85,10 +86,14 @@ def report_threshold(stream: DataFrame, reason: str, cut: int = fv.HIDE_AFTER_RE
 
 
 def usage_days(stream: DataFrame, client: str, ts: str, *, cap: int | None = None,
-               delay: str = "1 day") -> DataFrame:
+               delay: str | None = "1 day") -> DataFrame:
     """Rows per client and UTC day, once the watermark has passed the day (append mode), when its
-    state goes. Rows later than that are dropped; ``late_rows`` counts them on the finished table."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    state goes. Rows later than that are dropped; ``late_rows`` counts them on the finished table.
+    Without a ``delay`` (update mode) every row counts, however late, and open days show too; the
+    state then keeps all days."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if delay is not None:
+        timed = timed.withWatermark(ts, delay)
     counted = timed.groupBy(F.window(ts, "1 day"), client).agg(F.count(F.lit(1)).alias("n"))
     over = [] if cap is None else [(F.col("n") > cap).alias("over_cap")]
     return counted.select(F.to_date("window.start").alias("day"), client, "n", *over)

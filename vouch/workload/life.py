@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.operators import analytics as an
 from vouch.operators import ranking as rk
@@ -363,20 +364,27 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return the written table. In complete mode every
-    batch replaces the table; in append mode rows are written once."""
+def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and return the written table. In append mode rows are
+    written once. In update mode every batch writes the rows that it changed, in a folder of its
+    own that a replay overwrites, and the newest row of each ``key`` counts."""
     spark = stream.sparkSession
     root = scratch(spark)
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{root}/out")
     else:
         writer = stream.writeStream.foreachBatch(
-            lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out"))
+            lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/batch={i}"))
     run = (writer.outputMode(mode).option("checkpointLocation", f"{root}/state")
            .trigger(availableNow=True).start())
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    fields = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    written = spark.read.schema(fields).parquet(f"{root}/out")
+    rest = [c for c in stream.columns if c not in key]
+    newest = written.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*key, "_r.*").select(*stream.columns)
 
 
 def streaming(name: str, sql: str, views: str = ""):
@@ -389,35 +397,32 @@ def streaming(name: str, sql: str, views: str = ""):
 
 
 @streaming("ss_2_report_threshold", """
-SELECT user_id % 97 AS business_id, 20 AS reports FROM events WHERE event_type = 'error'
-GROUP BY 1 HAVING count(*) >= 20""")
+SELECT user_id % 97 AS business_id, count(*) AS reports, count(*) >= 20 AS hide FROM events
+WHERE event_type = 'error' GROUP BY 1""")
 def _(spark, sf_dir):
     stream = event_stream(spark, sf_dir).select(
         (F.col("user_id") % 97).alias("business_id"), F.col("event_type").alias("reason"))
-    return drain(jobs.report_threshold(stream, "error", cut=20), "append")
-
+    return drain(jobs.report_counts(stream, "error", cut=20), "update", ["business_id"])
 
-# a day is closed when it ended a day before the newest event
-CLOSED = "CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
-
-@streaming("ss_3_usage_days", f"""
+@streaming("ss_3_usage_days", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n, count(*) > 5 AS over_cap
-FROM events WHERE {CLOSED} GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""")
 def _(spark, sf_dir):
-    out = drain(jobs.usage_days(event_stream(spark, sf_dir), "user_id", "ts", cap=5), "append")
-    return out.withColumn("day", F.col("day").cast("string"))
+    days = jobs.usage_days(event_stream(spark, sf_dir), "user_id", "ts", cap=5, delay=None)
+    return drain(days, "update", ["day", "user_id"]).withColumn("day", F.col("day").cast("string"))
 
 
-@streaming("ss_3_usage_months", f"""
+@streaming("ss_3_usage_months", """
 SELECT event_type, strftime(ts, '%Y-%m') AS period, count(*) AS used, CASE event_type
   WHEN 'click' THEN count(*) > 1500 WHEN 'view' THEN count(*) > 10 ELSE false END AS over_cap
-FROM events WHERE {CLOSED} GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""")
 def _(spark, sf_dir):
     caps = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().select(
         "event_type", F.when(F.col("event_type") == "click", 1500)
         .when(F.col("event_type") == "view", 10).alias("monthly_cap"))
-    days = drain(jobs.usage_days(event_stream(spark, sf_dir), "event_type", "ts"), "append")
+    days = jobs.usage_days(event_stream(spark, sf_dir), "event_type", "ts", delay=None)
+    days = drain(days, "update", ["day", "event_type"])
     return jobs.usage_months(days, "event_type", caps).select("event_type", "period", "used",
                                                               "over_cap")
 
