@@ -295,3 +295,18 @@ def test_a_chosen_id_over_many_rows_is_trained_on_once(spark):
     repeated = toxicity.fit(docs.unionByName(again), marks, None)
     assert (model.table == repeated.table).all() and model.bias == repeated.bias
     assert model.thresholds == repeated.thresholds
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    # rows of many blocks, in any partitions; each row moves the model
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 16)
+    rows, labels = labelled(spark, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, None)
+    shuffled = toxicity.fit(docs.repartition(7, "text"), marks.repartition(5), None)
+    assert (model.numbers() == shuffled.numbers()).all() and model.thresholds == shuffled.thresholds
+    kept = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).collect()}
+    for i in [i for i in range(120) if i not in kept][:3]:
+        without = toxicity.fit(docs, marks.where(F.col("doc_id") != i), None)
+        assert (without.numbers() != model.numbers()).any()

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouch.llm.common import in_fold, read, text_slices, words_of
+from vouch.operators.lineage import cut
 
 #: Rows of the embedding table (a power of two), numbers in a row, filter widths, filters of each.
 TABLE, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
-#: Labelled rows that the model is fitted on, at most, for each class: those of the smallest hash.
-TRAIN_PER_CLASS = 2500
-#: One in so many of them is kept back to calibrate the thresholds.
+#: Labelled rows of a block, about. Each block is learned by one call; what they learn is averaged.
+BLOCK_ROWS = 16384
+#: One in so many labelled rows is kept back to calibrate the thresholds.
 KEPT_BACK = 5
-EPOCHS, BATCH, RATE, DECAY, SEED = 8, 32, 0.05, 1e-5, 42
+#: Rounds of averaging, and passes over a block in each.
+ROUNDS, PASSES = 3, 2
+BATCH, RATE, DECAY, SEED = 32, 0.05, 1e-5, 42
+#: Numbers of a model that are averaged by one call; steps of a score in the calibration.
+CHUNK, LEVELS = 1 << 15, 10_000
 #: Held-out rows of the registered query: crc32(doc_id as text) mod 5 = 0.
 FOLDS, HELD_OUT = 5, 0
 #: Letters at the front of a word that make its second key, so that endings can vary.
@@ -54,6 +61,22 @@ class Model:
     bias: float
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
+    def numbers(self) -> np.ndarray:
+        """All weights in one array."""
+        parts = [self.table, *self.filters, *self.biases, self.out, np.array([self.bias])]
+        return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+
+    @staticmethod
+    def of(numbers: np.ndarray) -> Model:
+        """The model of such an array; it shares no memory with it."""
+        shapes = [(TABLE, DIM), *[(w, DIM, FILTERS) for w in WIDTHS], *[(FILTERS,) for _ in WIDTHS],
+                  (FILTERS * len(WIDTHS),), (1,)]
+        ends = np.cumsum([np.prod(x) for x in shapes])
+        table, *rest, out, bias = [p.reshape(x).astype(np.float32) for p, x in zip(
+            np.split(numbers, ends[:-1]), shapes, strict=True)]
+        n = len(WIDTHS)
+        return Model(table, rest[:n], rest[n:], out.astype(np.float64), float(bias[0]))
+
     def responses(self, keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """For each width the filter responses at every position; texts are spaced by rows of
         zeros, so that no filter sees two texts and short texts have positions too."""
@@ -92,16 +115,19 @@ def constant(share: float) -> Model:
                  np.zeros(FILTERS * len(WIDTHS)), float(np.log(share / (1 - share))), {None: 0.5})
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
-    """Fit by stochastic gradient steps with per-weight rates. ``texts`` are word keys; the two
-    classes may be sampled at different rates, ``prior`` is the share of class 1 among all."""
+def untrained() -> Model:
     rng = np.random.default_rng(SEED)
-    m = Model(rng.normal(0, 0.1, (TABLE, DIM)).astype(np.float32),
-              [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
-              [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
-              rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)
-    share = labels.mean()
-    weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share)) ** 0.5
+    return Model(rng.normal(0, 0.1, (TABLE, DIM)).astype(np.float32),
+                 [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
+                 [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
+                 rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)
+
+
+def learn(m: Model, texts: list[np.ndarray], labels: np.ndarray, prior: float,
+          rng: np.random.Generator) -> Model:
+    """Change ``m`` by stochastic gradient steps with per-weight rates, ``PASSES`` times over the
+    texts (word keys). ``prior``, the share of class 1 among all, weighs the rarer class up."""
+    weight = np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior)) ** 0.5
     sums = [np.full_like(a, 1e-4, dtype=np.float64) for a in (m.table, m.out, *m.filters, *m.biases)]
     bias_sum, gap = 1e-4, max(WIDTHS)
 
@@ -110,7 +136,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
         total[rows] += grad * grad
         a[rows] -= (RATE * grad / np.sqrt(total[rows])).astype(a.dtype)
 
-    for _ in range(EPOCHS):
+    for _ in range(PASSES):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]
@@ -158,16 +184,17 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     return m
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
     """The score that parts the classes with the fewest mistakes, in the middle of the gap there;
-    0.5 where a class is absent."""
-    if not 0 < labels.sum() < len(labels):
+    0.5 where a class is absent. ``counts``: how many rows have the score and the label."""
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
+    if not 0 < (labels * counts).sum() < counts.sum():
         return 0.5
     order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
+    s, y = scores[order], (labels * counts)[order]
+    n = ((1 - labels) * counts)[order]
     # mistakes if the first k are taken as clean
-    mistakes = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum()) \
-        - np.concatenate([[0], np.cumsum(1 - y)])
+    mistakes = np.concatenate([[0], np.cumsum(y)]) + n.sum() - np.concatenate([[0], np.cumsum(n)])
     best = np.flatnonzero(mistakes == mistakes.min())
     k = int(best[len(best) // 2])
     return float(((s[k - 1] if k else 0.0) + (s[k] if k < len(s) else 1.0)) / 2)
@@ -179,52 +206,134 @@ def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, leave_out: tuple[int, int] | None = (FOLDS, HELD_OUT),
-        per_class: int = TRAIN_PER_CLASS) -> Model:
-    """Train on at most ``per_class`` labelled documents of each class, whole texts, outside the
-    fold ``leave_out``; calibrate a threshold for each language on a part of them.
-
-    The rows are those with the smallest hash of doc_id, found by a top-k; their ids, bounded by
-    ``per_class``, are broadcast to find their texts. An id that repeats over rows is one of them,
-    with the text of the smallest hash, so that the driver gets at most 2 x ``per_class`` whole
-    texts: that many times the longest one's bytes, about 17 MB at 3.4 KB a text. Labels other than
-    0 and 1 and null ids are left out. Language only picks a threshold; it is no input of the score.
+        ) -> Model:
+    """Learn from all labelled documents, whole texts, outside the fold ``leave_out``; one in
+    ``KEPT_BACK`` of them calibrates a threshold for each language instead.
+
+    The rows are dealt by a hash of doc_id to blocks of about ``BLOCK_ROWS``. In each of ``ROUNDS``
+    rounds every block starts from the same model and learns alone; the mean of what the blocks
+    have learned, weighed by their rows, starts the next round. The result depends on the rows only,
+    not on partitions. The driver gets counts and one model (about 2 MB, of fixed size) a round.
+
+    An id that repeats over rows is one of them, with the text of the smallest hash. Labels other
+    than 0 and 1 and null ids are left out. Language only picks a threshold; it is no input of the
+    score.
     """
-    spark = docs.sparkSession
-    usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic")
+    usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
     if leave_out:
         usable = usable.where(~in_fold(F.col("doc_id"), *leave_out))
-    there = usable.groupBy("toxic").count().collect()  # at most two rows
-    number = {r["toxic"]: r["count"] for r in there}
-    prior = number.get(1, 0) / max(sum(number.values()), 1)
-    chosen = [usable.where(F.col("toxic") == y).dropDuplicates(["doc_id"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    ids = [(r["doc_id"], int(r["toxic"])) for part in chosen for r in part.collect()]
-    if not 0 < sum(y for _, y in ids) < len(ids):
-        return constant(prior)
-    few = F.broadcast(spark.createDataFrame(ids, "doc_id long, _toxic int"))
-    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"],
-               docs["lang"] if "lang" in docs.columns else F.lit(None).alias("lang")]
-    found = docs.select(*columns).join(few, "doc_id").groupBy("doc_id", "_toxic").agg(
-        F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("_row"))
-    rows = sorted(found.select("doc_id", "_toxic", "_row.text", "_row.lang").collect(),
-                  key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.text or ""))
-    keys, counts = keys_of(pa.array([r.text or "" for r in rows], pa.large_string()))
-    texts = np.split(keys, np.cumsum(counts)[:-1]) if len(counts) else []
-    y = np.array([r._toxic for r in rows], np.int64)
-    back = np.array([xxhash.xxh64_intdigest(str(r.doc_id), 3) % KEPT_BACK == 0 for r in rows], bool)
-    if not 0 < y[~back].sum() < (~back).sum():
-        return constant(prior)
-    model = train([t for t, b in zip(texts, back, strict=True) if not b], y[~back], prior)
-    scores = np.concatenate([model.score(t, np.array([len(t)])) for t in texts])
-    # few rows of a language say little of its threshold: those trained on are used then as well
-    langs = np.array([r.lang or "" for r in rows])
+    back = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(KEPT_BACK)) == 0
+    usable = usable.withColumn("_back", back)
+    found = usable.join(docs.select(docs["doc_id"].cast("long").alias("doc_id")), "doc_id", "left_semi")
+    there = found.groupBy("_toxic", "_back").count().collect()  # at most four rows
+    ones, n = (sum(r["count"] for r in there if not r["_back"] and r["_toxic"] in of)
+               for of in ((1,), (0, 1)))
+    if not 0 < ones < n:
+        some = sum(r["count"] for r in there)
+        return constant(sum(r["count"] for r in there if r["_toxic"] == 1) / max(some, 1))
+    prior, blocks = ones / n, -(-n // BLOCK_ROWS)
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None)
+    one = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lit(None).cast("int").alias("_toxic"),
+                      F.struct(F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"),
+                               lang.cast("string").alias("lang")).alias("_row")).where("doc_id IS NOT NULL")
+    if leave_out:
+        one = one.where(~in_fold(F.col("doc_id"), *leave_out))
+    # texts and labels of an id meet in its block: the texts are shuffled once
+    both = one.unionByName(usable.select("doc_id", "_toxic"), allowMissingColumns=True).withColumn(
+        "_block", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(blocks)))
+    rows = both.repartition("_block").groupBy("_block", "doc_id").agg(
+        F.min("_row").alias("_row"), F.collect_set("_toxic").alias("_marks"),
+        F.count_if(F.col("_row").isNotNull()).alias("_texts")).where("_texts > 0").select(
+        "_block", "doc_id", F.explode("_marks").alias("_toxic"), back.alias("_back"), "_row.text", "_row.lang")
+    # fixed once, whole blocks in each partition: the rounds shuffle no texts
+    rows = cut(rows.sortWithinPartitions("_block", "doc_id", "_toxic"))
+    model = untrained()
+    for number in range(ROUNDS):
+        model = _round(rows, model, prior, number, math.isqrt(blocks) + 1)
+    _calibrate(rows, model)
+    return model
+
+
+def _round(rows: DataFrame, model: Model, prior: float, number: int, parts: int) -> Model:
+    """The mean of what the blocks of ``rows`` learn from the model."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.numbers())
+
+    def block(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(parts)
+        at, n = table.column("_block")[0].as_py(), len(table)
+        keys, counts = keys_of(pc.fill_null(table.column("text").combine_chunks(), ""))
+        y = table.column("_toxic").to_numpy().astype(np.int64)
+        m = learn(Model.of(shared.value), np.split(keys, np.cumsum(counts)[:-1]), y, prior,
+                  np.random.default_rng([SEED, number, at]))
+        out = m.numbers()
+        for chunk, i in enumerate(range(0, len(out), CHUNK)):
+            yield pa.RecordBatch.from_pydict({
+                "chunk": [chunk], "part": [at], "n": [n],
+                "numbers": [out[i:i + CHUNK].tobytes()]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            at = table.column("_block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if stop == start:  # an empty batch
+                    continue
+                if held and held[0].column("_block")[0].as_py() != at[start]:
+                    yield from block(held)
+                    held = []
+                held.append(table.slice(start, stop - start))
+        if held:
+            yield from block(held)
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        total, n = 0.0, 0
+        for k, numbers in zip(table.column("n").to_pylist(), table.column("numbers"), strict=True):
+            total, n = total + k * np.frombuffer(numbers.as_buffer(), np.float32).astype(np.float64), n + k
+        return pa.table([table.column("chunk")[:1], table.column("part")[:1], pa.array([n], pa.int64()),
+                         pa.array([(total / n).astype(np.float32).tobytes()])], table.schema.names)
+
+    shape = "chunk long, part long, n long, numbers binary"
+    learned = rows.where("NOT _back").select("_block", "_toxic", "text").mapInArrow(run, shape)
+    # in two steps, so that no call gets a chunk of every block
+    some = learned.groupBy("chunk", F.pmod("part", F.lit(parts)).alias("_p")).applyInArrow(
+        lambda table: mean(table.select(["chunk", "part", "n", "numbers"])), shape)
+    chunks = some.groupBy("chunk").applyInArrow(mean, shape).collect()
+    shared.unpersist()
+    return Model.of(np.concatenate([np.frombuffer(r["numbers"], np.float32)
+                                    for r in sorted(chunks, key=lambda r: r["chunk"])]))
+
+
+def _calibrate(rows: DataFrame, model: Model) -> None:
+    """Set the thresholds by how many rows of each class have which score, in ``LEVELS`` steps."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text", STEP_BYTES):
+                level = np.rint(shared.value.score(*keys_of(texts)) * LEVELS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(level)],
+                                                 ["lang", "_back", "_toxic", "level"])
+
+    scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "_back", "_toxic", "text").mapInArrow(
+        run, "lang string, _back boolean, _toxic int, level int")
+    counted = scored.groupBy("lang", "_back", "_toxic", "level").count().orderBy(
+        "lang", "_back", "_toxic", "level").collect()
+    langs = np.array([r["lang"] for r in counted])
+    kept = np.array([r["_back"] for r in counted], bool)
+    y = np.array([r["_toxic"] for r in counted], np.int64)
+    s = np.array([r["level"] for r in counted]) / LEVELS
+    n = np.array([r["count"] for r in counted], np.int64)
+    # few rows of a language say little of its threshold: those learned from are used then as well
     for lang in sorted(set(langs.tolist())):
-        own = (langs == lang) & back
-        if min(y[own].sum(), (1 - y[own]).sum()) < 5:
+        own = (langs == lang) & kept
+        if min((y * n)[own].sum(), ((1 - y) * n)[own].sum()) < 5:
             own = langs == lang
-        model.thresholds[lang] = threshold(scores[own], y[own])
-    model.thresholds[None] = threshold(scores[back], y[back])
-    return model
+        model.thresholds[lang] = threshold(s[own], y[own], n[own])
+    model.thresholds[None] = threshold(s[kept], y[kept], n[kept])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang",
