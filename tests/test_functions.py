@@ -382,3 +382,28 @@ def test_a_house_number_is_no_canadian_postal_code(spark):
         "query string, lat double, lng double")
     got = {r.k: (r.lat, r.geocoded) for r in geocode_join(rows, known).collect()}
     assert got == {1: (None, True), 2: (2.0, True), 3: (3.0, True)}
+
+
+def test_nfkc_sends_every_character_that_can_change(spark):
+    import unicodedata
+
+    texts = [chr(c) for c in [*range(0x1, 0xD800), *range(0xE000, 0x11000), 0x1F600, 0x2F800]]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = df.select("v", F.col("v").rlike(tx._unstable()).alias("sent")).collect()
+    for r in got:
+        if unicodedata.normalize("NFKC", r.v) != r.v or unicodedata.combining(r.v):
+            assert r.sent, hex(ord(r.v))
+    sent = {r.v for r in got if r.sent}
+    assert not sent & set("az AZ09~\n\t\r" + "éßüپچژگیکا؟")
+
+
+def test_letters_are_counted_one_by_one(spark):
+    got = spark.createDataFrame([("ab \U00010400 پچ1، x",), ("",), ("12",)], "v string").select(
+        *tx.letter_counts("v")).collect()
+    assert [tuple(r) for r in got] == [(2, 2 / 6), (0, 0.0), (0, 0.0)]
+
+
+def test_whole_words_of_any_first_letter(spark):
+    pattern = tx.whole_word(["-shop", "c++", "[x]", "^a", "b-c", " d"])
+    texts = ["a shop", "in c++ now", "[x]", "^a", "b c", "d", "workshop", "xd"]
+    assert column(spark, texts, F.col("v").rlike(pattern)) == [True] * 6 + [False] * 2
