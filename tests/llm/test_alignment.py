@@ -1,6 +1,7 @@
 """Token alignment against a plain walk over whole texts, each encoded by the libraries at once."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -136,3 +137,17 @@ def test_registered_query(spark, sf, pair):
         assert (r.n_a, r.n_b, r.n_groups, r.n_links) == (len(a), len(b), len(cuts), len(links))
         assert r.groups_sha256 == plain_digest(a, b, cuts)
         assert r.n_links <= r.count_sum and r.n_best <= r.n_links
+
+
+def test_a_block_stays_small(pair):
+    """A few workers share an executor: what a block holds at its widest has a bound."""
+    text = " ".join(f"word{k % 977} and it" for k in range(200))
+    texts = pa.array([text] * (alignment.BLOCK_BYTES // len(text)))
+    tracemalloc.start()
+    try:
+        x = alignment.aligned(texts, pair)
+        alignment.written_groups(x)
+        alignment._block(x, len(pair.b_bytes))
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
