@@ -310,3 +310,16 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     for i in [i for i in range(120) if i not in kept][:3]:
         without = toxicity.fit(docs, marks.where(F.col("doc_id") != i), None)
         assert (without.numbers() != model.numbers()).any()
+
+
+def test_training_rows_hold_keys_not_texts(spark):
+    """The rounds read the same word keys as the texts give, in less room than the texts."""
+    texts = ["", None, "one", "Two, two  THREE\n", "the quick brown fox jumps " * 50]
+    rows = spark.createDataFrame([(k % 2, k, 1, False, "en", t) for k, t in enumerate(texts)],
+                                 "_block long, doc_id long, _toxic int, _back boolean, lang string, text string")
+    out = toxicity._keyed(rows).orderBy("doc_id").toArrow()
+    assert "text" not in out.column_names
+    keys, counts = toxicity._unpacked(out.column("keys").combine_chunks().slice(1))
+    want, numbers = toxicity.keys_of(pa.array([t or "" for t in texts[1:]]))
+    assert np.array_equal(keys, want) and counts.tolist() == numbers.tolist()
+    assert out.column("keys").nbytes < 0.9 * sum(len((t or "").encode()) for t in texts)

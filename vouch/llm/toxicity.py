@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import in_fold, read, text_slices, words_of
+from vouch.llm.common import in_fold, read, text_bytes, text_slices, words_of
 from vouch.operators.lineage import cut
 
 #: Rows of the embedding table (a power of two), numbers in a row, filter widths, filters of each.
@@ -34,6 +34,8 @@ STEM = 4
 MARKS = ".,;:!?\"'()[]{}<>*_-"
 #: Text bytes scored in one step; the activations take about 70 times as much.
 STEP_BYTES = 1 << 20
+#: Type of a word's two table rows where they are kept: two thirds of a text's own size.
+KEY = np.min_scalar_type(TABLE - 1)
 
 
 def word_keys(words: pa.Array) -> np.ndarray:
@@ -246,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, leave_out: tuple[int, int] | None =
         F.min("_row").alias("_row"), F.collect_set("_toxic").alias("_marks"),
         F.count_if(F.col("_row").isNotNull()).alias("_texts")).where("_texts > 0").select(
         "_block", "doc_id", F.explode("_marks").alias("_toxic"), back.alias("_back"), "_row.text", "_row.lang")
-    # fixed once, whole blocks in each partition: the rounds shuffle no texts
-    rows = cut(rows.sortWithinPartitions("_block", "doc_id", "_toxic"))
+    # fixed once, whole blocks in each partition: the rounds shuffle nothing and split no words
+    rows = cut(_keyed(rows).sortWithinPartitions("_block", "doc_id", "_toxic"))
     model = untrained()
     for number in range(ROUNDS):
         model = _round(rows, model, prior, number, math.isqrt(blocks) + 1)
@@ -255,17 +257,36 @@ def fit(docs: DataFrame, labels: DataFrame, leave_out: tuple[int, int] | None =
     return model
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the word keys instead of the text, so that a block of them stays small."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                keys, counts = keys_of(texts)
+                ends = np.concatenate([[0], np.cumsum(counts)]) * 2 * KEY.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(counts), [
+                    None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.astype(KEY))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed.cast(pa.binary())],
+                                                 [*part.schema.names[:-1], "keys"])
+
+    df = rows.select("_block", "doc_id", "_toxic", "_back", "lang", "text")
+    return df.mapInArrow(run, "_block long, doc_id long, _toxic int, _back boolean, lang string, keys binary")
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word keys and each text's number of words, as of ``keys_of``."""
+    data, starts = text_bytes(packed)
+    return data.view(KEY).reshape(-1, 2), np.diff(starts) // (2 * KEY.itemsize)
+
+
 def _round(rows: DataFrame, model: Model, prior: float, number: int, parts: int) -> Model:
     """The mean of what the blocks of ``rows`` learn from the model."""
     shared = rows.sparkSession.sparkContext.broadcast(model.numbers())
 
-    def block(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        table = pa.concat_tables(parts)
-        at, n = table.column("_block")[0].as_py(), len(table)
-        keys, counts = keys_of(pc.fill_null(table.column("text").combine_chunks(), ""))
-        y = table.column("_toxic").to_numpy().astype(np.int64)
-        m = learn(Model.of(shared.value), np.split(keys, np.cumsum(counts)[:-1]), y, prior,
-                  np.random.default_rng([SEED, number, at]))
+    def block(at: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        texts = [x for keys, counts, _ in parts for x in np.split(keys, np.cumsum(counts)[:-1])]
+        y, n = np.concatenate([p[2] for p in parts]), len(texts)
+        m = learn(Model.of(shared.value), texts, y, prior, np.random.default_rng([SEED, number, at]))
         out = m.numbers()
         for chunk, i in enumerate(range(0, len(out), CHUNK)):
             yield pa.RecordBatch.from_pydict({
@@ -273,20 +294,20 @@ def _round(rows: DataFrame, model: Model, prior: float, number: int, parts: int)
                 "numbers": [out[i:i + CHUNK].tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held, last = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            at = table.column("_block").to_numpy()
+            at = batch.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for start, stop in zip(edges, edges[1:], strict=False):
                 if stop == start:  # an empty batch
                     continue
-                if held and held[0].column("_block")[0].as_py() != at[start]:
-                    yield from block(held)
+                if held and last != at[start]:
+                    yield from block(last, held)
                     held = []
-                held.append(table.slice(start, stop - start))
+                part, last = batch.slice(start, stop - start), int(at[start])
+                held.append((*_unpacked(part.column(2)), part.column(1).to_numpy().astype(np.int64)))
         if held:
-            yield from block(held)
+            yield from block(last, held)
 
     def mean(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
@@ -297,7 +318,7 @@ def _round(rows: DataFrame, model: Model, prior: float, number: int, parts: int)
                          pa.array([(total / n).astype(np.float32).tobytes()])], table.schema.names)
 
     shape = "chunk long, part long, n long, numbers binary"
-    learned = rows.where("NOT _back").select("_block", "_toxic", "text").mapInArrow(run, shape)
+    learned = rows.where("NOT _back").select("_block", "_toxic", "keys").mapInArrow(run, shape)
     # in two steps, so that no call gets a chunk of every block
     some = learned.groupBy("chunk", F.pmod("part", F.lit(parts)).alias("_p")).applyInArrow(
         lambda table: mean(table.select(["chunk", "part", "n", "numbers"])), shape)
@@ -313,12 +334,12 @@ def _calibrate(rows: DataFrame, model: Model) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "text", STEP_BYTES):
-                level = np.rint(shared.value.score(*keys_of(texts)) * LEVELS).astype(np.int32)
+            for part, packed in text_slices(batch, "keys", STEP_BYTES // 2):
+                level = np.rint(shared.value.score(*_unpacked(packed)) * LEVELS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(level)],
                                                  ["lang", "_back", "_toxic", "level"])
 
-    scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "_back", "_toxic", "text").mapInArrow(
+    scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "_back", "_toxic", "keys").mapInArrow(
         run, "lang string, _back boolean, _toxic int, level int")
     counted = scored.groupBy("lang", "_back", "_toxic", "level").count().orderBy(
         "lang", "_back", "_toxic", "level").collect()
