@@ -73,6 +73,24 @@ def test_neighbours_are_all_within_the_radius(spark):
     assert got == want and len(want) >= 160
 
 
+def test_fingerprints_of_one_class_form_no_pairs(spark, monkeypatch):
+    """A large class would have pairs by the square of its size; those across classes all stay."""
+    prints = [(1 << i | 1 << j, 5 if i < 8 else 0) for i in range(32) for j in range(i)]
+    df = spark.createDataFrame(prints, "grp long, label long")
+    got = {tuple(r) for r in near_copies.neighbours(df).collect()}
+    want = {(a, b) for a, p in prints for b, q in prints if a < b and (a ^ b).bit_count() <= 2
+            and not p == q == 5}
+    assert got == want
+    # and the classes are known before fingerprints are met with their neighbours
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 900)}" for _ in range(300)]
+    texts = [" ".join(w if k != i else "new" for k, w in enumerate(words)) for i in range(0, 300, 3)]
+    seen, neighbours = [], near_copies.neighbours
+    monkeypatch.setattr(near_copies, "neighbours", lambda p: seen.append(p) or neighbours(p))
+    assert kept_ids(spark, texts) == [0]
+    assert neighbours(seen[0]).count() < neighbours(seen[0].select("grp")).count() / 10
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_recall_of_pairs_at_the_bound_and_above(spark, seed):
     """Pairs that share a fingerprint's ball, of all pairs with similarity 0.8 to 0.9."""

@@ -15,11 +15,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each larger neighbour of a node to the smallest one around the node."""
+    """Links each larger neighbour of a node to the smallest one around the node, a row for each
+    edge at most."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     return (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct())
+            .where("a <> b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

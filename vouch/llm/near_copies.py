@@ -131,8 +131,9 @@ def print_columns() -> Column:
                      for k in range(PRINTS)])
 
 
-def meet(rows: np.ndarray) -> np.ndarray:
-    """Pairs (smaller, larger) of fingerprints that share a variant in the buckets of ``rows``.
+def meet(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Pairs (smaller, larger) of fingerprints that share a variant in the buckets of ``rows``, but
+    for pairs of one label (0: none).
 
     A row holds a fingerprint's number, the bucket and the fingerprint's bits. Every variant (no
     bit or one bit changed) that lies in the bucket is written out; equal ones are sorted together.
@@ -145,14 +146,15 @@ def meet(rows: np.ndarray) -> np.ndarray:
     near = change > 0
     base = (number << np.uint64(BITS)) | print_
     variants = np.concatenate([base ^ change, base[near] ^ (change[near] << np.uint64(16))])
-    sources = np.concatenate([base, base[near]])
+    sources, labels = np.concatenate([base, base[near]]), np.concatenate([labels, labels[near]])
     order = np.lexsort((sources, variants))
-    variants, sources = variants[order], sources[order]
+    variants, sources, labels = variants[order], sources[order], labels[order]
     found = []
     for d in range(1, len(variants)):
         same = variants[d:] == variants[:-d]
         if not same.any():
             break
+        same &= (labels[d:] != labels[:-d]) | (labels[d:] == 0)
         found.append(np.stack([sources[:-d][same], sources[d:][same]], axis=1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
@@ -160,7 +162,8 @@ def meet(rows: np.ndarray) -> np.ndarray:
 
 def neighbours(prints: DataFrame) -> DataFrame:
     """All pairs (ga, gb) of distinct fingerprints (column ``grp``) of one number that differ in at
-    most ``RADIUS`` bits.
+    most ``RADIUS`` bits. Of a column ``label``, pairs that share a label other than 0 are left out:
+    a large class would have them by the square of its size.
 
     Each stands for its 33 variants within half the radius. They are shuffled by number and fold
     (exclusive or of the halves), which takes 17 rows instead of 33, one long each.
@@ -172,42 +175,51 @@ def neighbours(prints: DataFrame) -> DataFrame:
     row = (F.shiftleft(F.shiftrightunsigned(g, BITS), BITS + 16)
            .bitwiseOR(F.shiftleft(fold.bitwiseXOR(F.col("_c").cast("long")), BITS))
            .bitwiseOR(g.bitwiseAND(F.lit((1 << BITS) - 1))))
-    sent = (prints.select("grp", F.explode(changes).alias("_c")).select(row.alias("row"))
+    label = F.col("label") if "label" in prints.columns else F.lit(0).cast("long")
+    sent = (prints.select("grp", label.alias("label"), F.explode(changes).alias("_c"))
+            .select(row.alias("row"), "label")
             .repartition(parts, F.shiftrightunsigned("row", BITS)).sortWithinPartitions("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray) -> pa.RecordBatch:
-            pairs = meet(rows).view(np.int64)
+        def found(rows: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+            pairs = meet(rows, labels).view(np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["ga", "gb"])
 
-        held, enough = np.empty(0, np.uint64), CHUNK
+        held, labels, enough = np.empty(0, np.uint64), np.empty(0, np.int64), CHUNK
         for batch in batches:
             held = np.concatenate([held, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+            labels = np.concatenate([labels, batch.column(1).to_numpy(zero_copy_only=False)])
             if len(held) >= enough:
                 last = held[-1] >> np.uint64(BITS) << np.uint64(BITS)  # this bucket may go on
                 whole = int(np.searchsorted(held, last))
                 if whole:
-                    yield found(held[:whole])
-                held = held[whole:]
+                    yield found(held[:whole], labels[:whole])
+                held, labels = held[whole:], labels[whole:]
                 enough = max(CHUNK, 2 * len(held))
         if len(held):
-            yield found(held)
+            yield found(held, labels)
 
     return sent.mapInArrow(run, "ga long, gb long").distinct()
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the wanted similarity."""
-    def sided(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in df.columns])
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in df.columns])
+
 
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that may have the wanted similarity by all bits."""
     apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
-    close = (pairs.join(sided(sketches, "a"), "a").join(sided(sketches, "b"), "b")
-             .where(apart <= MOST_APART).select("a", "b"))
+    return (pairs.join(_sided(sketches, "a"), "a").join(_sided(sketches, "b"), "b")
+            .where(apart <= MOST_APART).select("a", "b"))
+
+
+def _similar(close: DataFrame, sets_of) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the wanted similarity."""
+    sets = cut(sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     total = F.size("a_shingles") + F.size("b_shingles") - common
-    return (close.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b")
+    return (close.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
             .where(common >= F.lit(SIMILARITY) * total).select("a", "b"))
 
 
@@ -216,62 +228,84 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """grp, node, label (the class that the node is known to belong to)."""
-    return members.join(roots.withColumnRenamed("root", "label"), "node", "left").select(
-        "grp", "node", F.coalesce("label", "node").alias("label"))
+    """grp, node, label (the class that the node is known to belong to), linked (with another)."""
+    return members.join(roots, "node", "left").select(
+        "grp", "node", F.coalesce("root", "node").alias("label"), F.col("root").isNotNull().alias("linked"))
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes known so far (node, root) after the links ``found`` (a, b)."""
+    return cut(components(found.unionByName(roots.select(F.col("node").alias("a"),
+                                                         F.col("root").alias("b")))))
 
 
 def classes(sketches: DataFrame, sets_of) -> DataFrame:
     """node, root of all nodes that links connect with another.
 
-    ``sketches`` has one row per node. In a round every fingerprint names one of its nodes by a
-    hash that changes with the round; its other nodes are compared with that one, and the named
-    nodes of neighbouring fingerprints with each other. Large groups of near copies fall into few
-    classes so, without forming their pairs. When the pairs of nodes that still lie in different
-    classes are few (or rounds join nothing more), all of them are compared: no pair that meets is
-    left out. ``sets_of(nodes)`` gives their shingle sets.
+    ``sketches`` has one row per node. First every fingerprint names one of its nodes, with which
+    its others are compared. Large groups of near copies fall into few classes so, and only
+    fingerprints of different classes are then met with their neighbours: the pairs of a large class
+    are never formed. While the pairs of nodes that lie in different classes are many and a round
+    halves them, more nodes are named, by a hash that changes with the round, and the named ones
+    of neighbouring fingerprints are compared too. Then all pairs left are compared: no pair that
+    meets is left out. ``sets_of(nodes)`` gives their shingle sets.
     """
-    prints = cut(sketches.where("node <> 0").select("node", F.explode(print_columns()).alias("grp")))
-    counted = prints.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    pairs = cut(neighbours(counted.select("grp")).unionByName(
-        counted.where("n > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))))
-    met = pairs.select(F.col("ga").alias("grp")).unionByName(pairs.select(F.col("gb").alias("grp"))).distinct()
-    members = cut(prints.join(met, "grp", "left_semi"))
-    nodes = cut(members.select("node").distinct())
-    sketches, sets = sketches.join(nodes, "node", "left_semi"), cut(sets_of(nodes))
-    size = members.count()
-    spark = members.sparkSession
-    tested = edges = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    labelled, round_ = _labelled(members, roots), 0
-    while size:
-        named = members.groupBy("grp").agg(F.min_by(
-            "node", F.xxhash64(F.lit(round_), "node")).alias("named"))
-        inside = members.join(named, "grp").select(F.col("node").alias("a"), F.col("named").alias("b"))
+    prints = sketches.where("node <> 0").select("node", F.explode(print_columns()).alias("grp"))
+    tested = cut(_ordered(_inside(prints, 0)))
+    roots = sketches.sparkSession.createDataFrame([], "node long, root long")
+    found = cut(_similar(cut(_close(tested, sketches)), sets_of))
+    if not found.isEmpty():
+        roots = _joined(roots, found)
+    labelled = cut(_labelled(prints, roots))
+    held = cut(labelled.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                           F.max("linked").alias("linked")))
+    # a node that nothing is linked with has a label of its own, which 0 stands for
+    pairs = cut(neighbours(held.select("grp", F.when(F.expr("linked AND lo = hi"), F.col("lo"))
+                                       .otherwise(F.lit(0)).alias("label"))).unionByName(
+        held.where("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))))
+    met = pairs.select(F.explode(F.array("ga", "gb")).alias("grp")).distinct()
+    labelled = cut(labelled.join(met, "grp", "left_semi"))
+    size = labelled.count()
+    round_, before = 1, float("inf")
+    while size and FEW * size < (left := _left(pairs, labelled)) <= before / 2:
+        named = _named(labelled, round_).select("grp", "named")
         across = (pairs.where("ga < gb")
                   .join(named.select(F.col("grp").alias("ga"), F.col("named").alias("a")), "ga")
                   .join(named.select(F.col("grp").alias("gb"), F.col("named").alias("b")), "gb"))
-        now = cut(_ordered(inside.unionByName(across.select("a", "b"))).join(
+        now = cut(_ordered(_inside(labelled, round_).unionByName(across.select("a", "b"))).join(
             tested, ["a", "b"], "left_anti"))
-        found = cut(_similar(now, sketches, sets))
-        tested, edges = cut(tested.unionByName(now)), cut(edges.unionByName(found))
-        roots = cut(components(edges).select("node", "root"))
-        labelled = cut(_labelled(members, roots))
-        if _left(pairs, labelled) <= FEW * size or found.isEmpty():
+        found = cut(_similar(cut(_close(now, sketches)), sets_of))
+        tested = cut(tested.unionByName(now))
+        if found.isEmpty():
             break
-        round_ += 1
+        roots = _joined(roots, found)
+        labelled = cut(_labelled(labelled.select("grp", "node"), roots))
+        round_, before = round_ + 1, left
     if size:
         parts = labelled.select("grp", "label").distinct()
         open_ = (pairs.join(_side(parts, "a"), "ga").join(_side(parts, "b"), "gb")
                  .where("la <> lb AND (ga < gb OR la < lb)"))
-        rest = _ordered(open_.join(_side(labelled, "a"), ["ga", "la"])
-                        .join(_side(labelled, "b"), ["gb", "lb"]).select("a", "b")).join(
+        rest = _ordered(open_.join(_side(labelled.drop("linked"), "a"), ["ga", "la"])
+                        .join(_side(labelled.drop("linked"), "b"), ["gb", "lb"]).select("a", "b")).join(
                             tested, ["a", "b"], "left_anti")
-        edges = cut(edges.unionByName(_similar(cut(rest), sketches, sets)))
-        roots = components(edges).select("node", "root")
+        found = cut(_similar(cut(_close(rest, sketches)), sets_of))
+        if not found.isEmpty():
+            roots = _joined(roots, found)
     return roots
 
 
+def _named(members: DataFrame, round_: int) -> DataFrame:
+    """grp, named (one of its nodes by a hash of the round), n (number of its nodes)."""
+    return members.groupBy("grp").agg(
+        F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("named"), F.count(F.lit(1)).alias("n"))
+
+
+def _inside(members: DataFrame, round_: int) -> DataFrame:
+    """The nodes (a) of each fingerprint with its named one (b)."""
+    named = _named(members, round_).where("n > 1").select("grp", F.col("named").alias("b"))
+    return members.join(named, "grp").select(F.col("node").alias("a"), "b")
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
     names = {"grp": f"g{side}", "label": f"l{side}", "node": side}
     return df.select(*[F.col(c).alias(names.get(c, f"{c}{side}")) for c in df.columns])
