@@ -188,3 +188,22 @@ def test_similarity_in_a_task_equals_the_column(spark):
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("s", token_set_ratio("a", "b"))
     assert all(abs(r.s - token_set_ratio_of(r.a, r.b)) < 1e-9 for r in df.collect())
     assert df.where(F.col("s") > 0).count() > 50
+
+
+def test_a_city_of_a_few_ten_thousand_rows_is_walked(spark, monkeypatch):
+    """At 60 times sf0.1 a city has 38,000 rows; by components and rounds that did not end in time."""
+    def no(*_):
+        raise AssertionError("not walked as a whole")
+
+    monkeypatch.setattr(resolve, "influence", no)
+    monkeypatch.setattr(resolve, "_in_rounds", no)
+    listings = spark.range(38_000).selectExpr(
+        "'osm' AS source_id", "concat('c', id) AS external_id", "1L AS city_id",
+        "concat('Shop ', id % 200) AS name", "30D + id % 6 * 0.5D AS lat", "10D + id % 10 * 0.5D AS lng",
+        "array(named_struct('kind', 'website', 'value', concat('site', id % 37), 'url', 'u')) AS links")
+    entities = spark.createDataFrame([], ENTITY)
+    records = spark.createDataFrame([], "source_id string, external_id string, business_id string")
+    held = spark.createDataFrame([], "business_id string, kind string, value string")
+    got = resolve.resolve_entities(listings, entities, records, held).groupBy("stage").count().collect()
+    # 30 spots with one entity for each of the 37 sites, if no name joins them before
+    assert sum(r["count"] for r in got) == 38_000 and {r["stage"] for r in got} >= {"link", "new"}
