@@ -120,3 +120,18 @@ def test_chunks_give_the_same_pieces(spark, vocabulary):
     assert sorted(whole.select("doc_id", "ids_digest").collect(), key=repr) == sorted(
         split.select("doc_id", "ids_digest").collect(), key=repr)
     assert P.encode(df.where("false")).count() == 0
+
+
+def test_words_segmented_together_equal_each_alone(vocabulary, monkeypatch):
+    rng = random.Random(4)
+    alphabet = "  aeinrstlo,.1_\u00e9\u4e2d\U0001f600\x00\u05d0"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 90))) for _ in range(600)]
+    words += [" the", " international", "x", " ", "\x00", "ab" * 40, " information" * 3]
+    for at_once in (1, 500, 1 << 18):
+        monkeypatch.setattr(P, "AT_ONCE", at_once)
+        way, numbers = P._segmented(vocabulary, words)
+        got = [w.tolist() for w in np.split(way, np.cumsum(numbers)[:-1])]
+        assert got == [vocabulary.segment(w) for w in words]
+    for none in ([], ["ab" * 40]):
+        way, numbers = P._segmented(vocabulary, none)
+        assert way.tolist() == [e for w in none for e in vocabulary.segment(w)] and len(numbers) == len(none)

@@ -21,6 +21,10 @@ from vouch.operators.lineage import cut
 CHUNK = 1 << 16
 #: Text bytes encoded in one step; the ids as numbers of Python take about 15 times as much.
 STEP_BYTES = 1 << 20
+#: Characters up to which the distinct words of a step are segmented all at once.
+SHORT = 64
+#: Characters of words that are segmented at once, about; their pieces take some 300 bytes each.
+AT_ONCE = 1 << 18
 #: Segmented words that a task remembers.
 REMEMBERED = 150_000
 UNIT = re.compile(" +[^ ]*")
@@ -58,6 +62,7 @@ class Pieces:
     penalty: float
     split: bool
     remembered: dict[str, list[int]] = field(default_factory=dict)
+    tables: tuple[np.ndarray, ...] | None = None
 
     @classmethod
     def load(cls, path: str, by_rank: bool = True) -> Pieces:
@@ -131,6 +136,74 @@ class Pieces:
         out.reverse()
         return out
 
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """The tree of front parts as arrays: a hash table of (part, next character) with the longer
+        part, and each part's id (-1: no piece) and score. Part 0 is empty."""
+        if self.tables is None:
+            number = {"": 0} | {part: k for k, part in enumerate(self.steps, 1)}
+            keys = np.array([number[part[:-1]] << 21 | ord(part[-1]) for part in self.steps], np.int64)
+            found = [(-1, 0.0), *(v or (-1, 0.0) for v in self.steps.values())]
+            bits = max(4, int(len(keys) * 8).bit_length())
+            slots, longer = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+            left, at = np.arange(len(keys)), _slot(keys, bits)
+            while len(left):
+                free = slots[at] < 0
+                slots[at[free]] = keys[left[free]]  # of several that want a slot the last one has it
+                done = slots[at] == keys[left]
+                longer[at[done]] = left[done] + 1
+                left, at = left[~done], (at[~done] + 1) & ((1 << bits) - 1)
+            self.tables = (slots, longer, np.array([f[0] for f in found], np.int64),
+                           np.array([f[1] for f in found]))
+        return self.tables
+
+    def segment_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``segment`` of all words together: their edges one after the other, and each one's number.
+
+        The pieces that start at each character are found by going down the tree for all characters
+        at once; then the best ways are completed place by place, for all words at once.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        slots, longer, piece, score = self._tables()
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        at, part, size, edges = np.arange(len(text)), np.zeros(len(text), np.int64), 0, []
+        while len(at):
+            part = _look_up(slots, longer, part << 21 | text[at + size])
+            size += 1
+            if size == 1:
+                odd = at[piece[part] < 0]
+                edges.append((odd, np.ones(len(odd), np.int64), UNKNOWN + text[odd], np.full(len(odd), self.penalty)))
+            hit = piece[part] >= 0
+            edges.append((at[hit], np.full(int(hit.sum()), size), piece[part[hit]], score[part[hit]]))
+            on = (part > 0) & (at + size < ends[at])
+            at, part = at[on], part[on]
+        start, size, ids, scores = (np.concatenate([e[k] for e in edges]) for k in range(4))
+        # a word has a place more than characters
+        number = np.repeat(np.arange(len(words)), sizes)
+        first = np.cumsum(sizes) - sizes
+        place = start - first[number[start]]
+        start += number[start]
+        order = np.argsort(place, kind="stable")
+        start, stop, ids, scores = start[order], (start + size)[order], ids[order], scores[order]
+        best = np.full(len(text) + len(words), LOW)
+        best[first + np.arange(len(words))] = 0.0
+        back, last = np.full(len(best), -1, np.int64), np.full(len(best), -1, np.int64)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(place))])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # the places that are reached are all different
+            reached = best[start[a:b]] + scores[a:b]
+            better = np.flatnonzero(reached > best[stop[a:b]])
+            to = stop[a:b][better]
+            best[to], back[to], last[to] = reached[better], start[a:b][better], ids[a:b][better]
+        now, whose, ways = np.cumsum(sizes + 1) - 1, np.arange(len(words)), []
+        while len(now):
+            on = back[now] >= 0
+            now, whose = now[on], whose[on]
+            ways.append((whose, last[now]))
+            now = back[now]
+        whose, way = (np.concatenate([w[k] for w in reversed(ways)]) if ways else np.empty(0, np.int64)
+                      for k in range(2))
+        return way[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
     def word(self, unit: str) -> list[int]:
         found = self.remembered.get(unit)
         if found is None:
@@ -212,6 +285,44 @@ class Pieces:
         return b"".join(map(self.texts.__getitem__, ids))
 
 
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _look_up(slots: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The values of the keys in a hash table, 0 for those that it does not hold."""
+    at = _slot(keys, len(slots).bit_length() - 1)
+    there = slots[at]
+    out = np.where(there == keys, values[at], 0)
+    left = np.flatnonzero((there != keys) & (there >= 0))
+    while len(left):
+        at[left] = (at[left] + 1) & (len(slots) - 1)
+        there = slots[at[left]]
+        out[left] = np.where(there == keys[left], values[at[left]], 0)
+        left = left[(there != keys[left]) & (there >= 0)]
+    return out
+
+
+def _segmented(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all words, one word after the other, and each one's number: the short words all at
+    once, each long one by itself."""
+    short = np.fromiter((len(w) <= SHORT for w in words), bool, len(words))
+    few = [w for w, s in zip(words, short.tolist(), strict=True) if s]
+    block = np.cumsum(np.fromiter(map(len, few), np.int64, len(few))) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(few)]
+    parts = [pieces.segment_all(few[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    way, n = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in parts)]) for k in range(2))
+    if short.all():
+        return way, n
+    long = [pieces.segment(words[k]) for k in np.flatnonzero(~short).tolist()]
+    numbers = np.empty(len(words), np.int64)
+    numbers[short], numbers[~short] = n, list(map(len, long))
+    out = np.empty(int(numbers.sum()), np.int64)
+    here = np.repeat(short, numbers)
+    out[here], out[~here] = way, np.fromiter(chain.from_iterable(long), np.int64, int(numbers[~short].sum()))
+    return out, numbers
+
+
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of matrices (or stacks of them)."""
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
@@ -277,9 +388,7 @@ def _encoded(pieces: Pieces, texts: pa.Array, lengths: np.ndarray) -> list[pa.Ar
     codes = pc.dictionary_encode(words)
     which = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = codes.dictionary.to_pylist()
-    edges = [pieces.word(w) if pieces.split else pieces.segment(w) for w in distinct]
-    n_edges = np.fromiter(map(len, edges), np.int64, len(edges))
-    flat = np.fromiter(chain.from_iterable(edges), np.int64, int(n_edges.sum()))
+    flat, n_edges = _segmented(pieces, distinct)
     # characters without a piece become their bytes
     odd = np.flatnonzero(flat >= UNKNOWN)
     raw = [chr(int(flat[k]) - UNKNOWN).encode() for k in odd.tolist()]
@@ -357,13 +466,11 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lengths = shared.value
-        vocabulary.remembered.clear()  # a worker keeps what is broadcast, and with it the words
         for batch in batches:
             for part, texts in text_slices(batch, "_text", STEP_BYTES):
                 columns = _encoded(vocabulary, texts, lengths)[:4 + with_ids]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns],
                                                  [*part.schema.names[:-1], *names[:len(columns)]])
-        vocabulary.remembered.clear()
 
     small = rows.where(~giant).mapInArrow(run, ", ".join([*fields, COUNTED]) + extra)
     large = _giants(rows.where(giant), kept, shared, pieces.longest, chunk, with_ids)
