@@ -138,3 +138,36 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     got = sorted(map(tuple, near_copies.one_of_each(df).collect()), key=repr)
     assert got == [(5, "A b c d e f", "own"), (8, "", "own"), (None, "x", "own")]
     assert near_copies.one_of_each(df.where("false")).count() == 0
+
+
+def test_texts_with_much_of_their_own_are_not_compared_in_pairs(spark, monkeypatch):
+    """A group just below the bound has pairs that meet by the square of its size."""
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 900)}" for _ in range(95)]
+    texts = []
+    for i in range(200):
+        at = rng.sample(range(5, 90), 3)
+        texts.append(" ".join(f"own{i}x{k}" if k in at else w for k, w in enumerate(words)))
+    # some have a near copy: a change of their own words, or a base without those words
+    texts += [t.replace("own0x", "own1x", 1) for t in texts[:3]] + [" ".join(words), " ".join(words[1:])]
+    compared, similar = [], near_copies._similar
+    monkeypatch.setattr(near_copies, "FEW", 1)
+    monkeypatch.setattr(near_copies, "_similar", lambda close, of: compared.append(close.count()) or similar(close, of))
+    assert kept_ids(spark, texts) == sorted(set(brute_classes(texts)))
+    assert sum(compared) < 1500
+
+
+def test_sizes_admit_all_similar_sets(spark):
+    rng = random.Random(8)
+    sets = {}
+    for i in range(60):
+        base = range(100) if i % 2 else range(50, 130)
+        sets[i] = {x for x in base if rng.random() > 0.04 * (i % 5)} | {1000 * i + k for k in range(i % 13)}
+    rows = [(i, sorted(x)) for i, x in sets.items()]
+    sizes = {r.node: r for r in near_copies._sizes(
+        spark.createDataFrame(rows, "node long, shingles array<long>")).collect()}
+    linked = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(linked) > 50 and all(sizes[i].n == len(sets[i]) for i in sets)
+    assert all(sizes[a].n <= sizes[b].most and sizes[b].n <= sizes[a].most for a, b in linked)
+    far = [i for i in sets if sizes[i].most < sizes[i].n]
+    assert far and not [p for p in linked if p[0] in far and p[1] in far]

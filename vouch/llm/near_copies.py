@@ -36,6 +36,8 @@ MOST_APART = PRINTS * BITS // 4
 CHUNK = 1 << 18
 #: Pairs left to compare, as a multiple of the memberships, below which they are all written out.
 FEW = 4
+#: Times that ``crowds`` counts a pair, about: from both sides, and at two variants.
+COUNTED = 4
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, PRINTS * BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = [f"s{i}" for i in range(PRINTS * BITS // 64)]
@@ -131,42 +133,66 @@ def print_columns() -> Column:
                      for k in range(PRINTS)])
 
 
-def meet(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Pairs (smaller, larger) of fingerprints that share a variant in the buckets of ``rows``, but
-    for pairs of one label (0: none).
+def _variants(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The variants (no bit or one bit changed) of the fingerprints of ``rows`` that lie in the rows'
+    buckets, in order, with their fingerprints and the places of their rows.
 
-    A row holds a fingerprint's number, the bucket and the fingerprint's bits. Every variant (no
-    bit or one bit changed) that lies in the bucket is written out; equal ones are sorted together.
-    A variant has at most 33 different fingerprints, so that all their pairs are few.
+    A row holds a fingerprint's number, the bucket and the fingerprint's bits.
     """
     low = np.uint64((1 << BITS) - 1)
     print_, number = rows & low, rows >> np.uint64(BITS + 16)
     bucket = (rows >> np.uint64(BITS)) & np.uint64(0xFFFF)
     change = bucket ^ (print_ & np.uint64(0xFFFF)) ^ (print_ >> np.uint64(16))
-    near = change > 0
+    near = np.flatnonzero(change > 0)
     base = (number << np.uint64(BITS)) | print_
     variants = np.concatenate([base ^ change, base[near] ^ (change[near] << np.uint64(16))])
-    sources, labels = np.concatenate([base, base[near]]), np.concatenate([labels, labels[near]])
+    at = np.concatenate([np.arange(len(rows)), near])
+    sources = base[at]
     order = np.lexsort((sources, variants))
-    variants, sources, labels = variants[order], sources[order], labels[order]
+    return variants[order], sources[order], at[order]
+
+
+def meet(rows: np.ndarray, labels: np.ndarray, low: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Pairs (smaller, larger) of fingerprints that share a variant in the buckets of ``rows``, but
+    for pairs of one label (0: none) and those whose sizes do not admit each other: each one's
+    least size ``low`` is to be at most what the other admits.
+
+    A variant has at most 33 different fingerprints, so that all their pairs are few.
+    """
+    variants, sources, at = _variants(rows)
+    labels, low, most = labels[at], low[at], most[at]
     found = []
     for d in range(1, len(variants)):
         same = variants[d:] == variants[:-d]
         if not same.any():
             break
         same &= (labels[d:] != labels[:-d]) | (labels[d:] == 0)
+        same &= (low[d:] <= most[:-d]) & (low[:-d] <= most[d:])
         found.append(np.stack([sources[:-d][same], sources[d:][same]], axis=1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def neighbours(prints: DataFrame) -> DataFrame:
-    """All pairs (ga, gb) of distinct fingerprints (column ``grp``) of one number that differ in at
-    most ``RADIUS`` bits. Of a column ``label``, pairs that share a label other than 0 are left out:
-    a large class would have them by the square of its size.
+def crowd(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Fingerprints that share a variant in the buckets of ``rows`` with one of another label or of
+    none (0), and the number of others there, a row for each such variant."""
+    variants, sources, at = _variants(rows)
+    labels = labels[at]
+    if not len(variants):
+        return np.empty((0, 2), np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
+    numbers = np.diff(np.append(starts, len(variants)))
+    one = (np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)) & (labels[starts] != 0)
+    some = np.repeat((numbers > 1) & ~one, numbers)
+    return np.stack([sources[some], np.repeat(numbers - 1, numbers)[some].astype(np.uint64)], axis=1)
 
-    Each stands for its 33 variants within half the radius. They are shuffled by number and fold
-    (exclusive or of the halves), which takes 17 rows instead of 33, one long each.
+
+def _in_buckets(prints: DataFrame, more: list[str], work, names: list[str]) -> DataFrame:
+    """Rows (long columns ``names``) that ``work`` finds in whole buckets of the fingerprints
+    (``grp``), given their rows and the long columns ``more``.
+
+    Each fingerprint stands for its 33 variants within half the radius. They are shuffled by number
+    and fold (exclusive or of the halves), which takes 17 rows instead of 33, one long each.
     """
     g = F.col("grp")
     fold = g.bitwiseXOR(F.shiftrightunsigned(g, 16)).bitwiseAND(F.lit(0xFFFF))
@@ -175,43 +201,83 @@ def neighbours(prints: DataFrame) -> DataFrame:
     row = (F.shiftleft(F.shiftrightunsigned(g, BITS), BITS + 16)
            .bitwiseOR(F.shiftleft(fold.bitwiseXOR(F.col("_c").cast("long")), BITS))
            .bitwiseOR(g.bitwiseAND(F.lit((1 << BITS) - 1))))
-    label = F.col("label") if "label" in prints.columns else F.lit(0).cast("long")
-    sent = (prints.select("grp", label.alias("label"), F.explode(changes).alias("_c"))
-            .select(row.alias("row"), "label")
+    sent = (prints.select("grp", *more, F.explode(changes).alias("_c")).select(row.alias("row"), *more)
             .repartition(parts, F.shiftrightunsigned("row", BITS)).sortWithinPartitions("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
-            pairs = meet(rows, labels).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["ga", "gb"])
+        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
+            out = work(columns[0].view(np.uint64), *columns[1:]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in out.T], names)
 
-        held, labels, enough = np.empty(0, np.uint64), np.empty(0, np.int64), CHUNK
+        held, enough = [np.empty(0, np.int64)] * (1 + len(more)), CHUNK
         for batch in batches:
-            held = np.concatenate([held, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            labels = np.concatenate([labels, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(held) >= enough:
-                last = held[-1] >> np.uint64(BITS) << np.uint64(BITS)  # this bucket may go on
-                whole = int(np.searchsorted(held, last))
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)])
+                    for h, c in zip(held, batch.columns, strict=True)]
+            rows = held[0].view(np.uint64)
+            if len(rows) >= enough:
+                last = rows[-1] >> np.uint64(BITS) << np.uint64(BITS)  # this bucket may go on
+                whole = int(np.searchsorted(rows, last))
                 if whole:
-                    yield found(held[:whole], labels[:whole])
-                held, labels = held[whole:], labels[whole:]
-                enough = max(CHUNK, 2 * len(held))
-        if len(held):
-            yield found(held, labels)
+                    yield found([h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+                enough = max(CHUNK, 2 * len(held[0]))
+        if len(held[0]):
+            yield found(held)
+
+    return sent.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def neighbours(prints: DataFrame) -> DataFrame:
+    """All pairs (ga, gb) of distinct fingerprints (column ``grp``) of one number that differ in at
+    most ``RADIUS`` bits. Of a column ``label``, pairs that share a label other than 0 are left out:
+    a large class would have them by the square of its size. Of columns ``low`` and ``most``, so are
+    pairs whose sizes do not admit each other, and of a column ``met`` all that are not marked."""
+    if "met" in prints.columns:
+        prints = prints.where("met")
+    given = {"label": 0, "low": 0, "most": np.iinfo(np.int64).max}
+    full = prints.select("grp", *[F.col(c) if c in prints.columns else F.lit(int(v)).cast("long").alias(c)
+                                  for c, v in given.items()])
+    return _in_buckets(full, [*given], meet, ["ga", "gb"]).distinct()
 
-    return sent.mapInArrow(run, "ga long, gb long").distinct()
+
+def crowds(prints: DataFrame) -> DataFrame:
+    """grp, times (meetings with others, at least one for each) of the fingerprints that have
+    neighbours of another label or of none; no pair is formed."""
+    return _in_buckets(prints.select("grp", "label"), ["label"], crowd, ["grp", "times"]).groupBy("grp").agg(
+        F.sum("times").alias("times"))
 
 
 def _sided(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in df.columns])
 
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that may have the wanted similarity by all bits."""
-    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
-    return (pairs.join(_sided(sketches, "a"), "a").join(_sided(sketches, "b"), "b")
-            .where(apart <= MOST_APART).select("a", "b"))
+def _apart() -> Column:
+    """Number of differing bits of the sketches of a and b."""
+    return sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
+
+
+def _first_meeting(number: Column) -> Column:
+    """Whether no fingerprint of a and b before that of this number is within the radius."""
+    def apart(k: int) -> Column:
+        changed = F.col(f"a_{_SKETCH[k // 2]}").bitwiseXOR(F.col(f"b_{_SKETCH[k // 2]}"))
+        return F.bit_count(F.shiftrightunsigned(changed, BITS * (k % 2)).bitwiseAND(F.lit((1 << BITS) - 1)))
+
+    out = F.lit(True)
+    for k in range(PRINTS):
+        out = out & ((number <= k) | (apart(k) > RADIUS))
+    return out
+
+
+def _fits(known: DataFrame) -> Column:
+    """Whether a and b may have the wanted similarity by all bits and, where known, by their sizes."""
+    near = _apart() <= MOST_APART
+    return near & F.expr("a_n <= b_most AND b_n <= a_most") if "most" in known.columns else near
+
+
+def _close(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that may have the wanted similarity by what is known of them."""
+    return (pairs.join(_sided(known, "a"), "a").join(_sided(known, "b"), "b")
+            .where(_fits(known)).select("a", "b"))
 
 
 def _similar(close: DataFrame, sets_of) -> DataFrame:
@@ -228,9 +294,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """grp, node, label (the class that the node is known to belong to), linked (with another)."""
+    """``members`` (grp, node), label (the class that the node is known to belong to), linked (with another)."""
     return members.join(roots, "node", "left").select(
-        "grp", "node", F.coalesce("root", "node").alias("label"), F.col("root").isNotNull().alias("linked"))
+        *members.columns, F.coalesce("root", "node").alias("label"), F.col("root").isNotNull().alias("linked"))
 
 
 def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -247,8 +313,10 @@ def classes(sketches: DataFrame, sets_of) -> DataFrame:
     fingerprints of different classes are then met with their neighbours: the pairs of a large class
     are never formed. While the pairs of nodes that lie in different classes are many and a round
     halves them, more nodes are named, by a hash that changes with the round, and the named ones
-    of neighbouring fingerprints are compared too. Then all pairs left are compared: no pair that
-    meets is left out. ``sets_of(nodes)`` gives their shingle sets.
+    of neighbouring fingerprints are compared too. Before that, nodes whose own shingles alone keep
+    them from the wanted similarity with all that they meet are set aside (``_able``). Then all pairs
+    left are compared: no pair that meets and can be similar is left out. ``sets_of(nodes)`` gives
+    their shingle sets.
     """
     prints = sketches.where("node <> 0").select("node", F.explode(print_columns()).alias("grp"))
     tested = cut(_ordered(_inside(prints, 0)))
@@ -257,53 +325,141 @@ def classes(sketches: DataFrame, sets_of) -> DataFrame:
     if not found.isEmpty():
         roots = _joined(roots, found)
     labelled = cut(_labelled(prints, roots))
-    held = cut(labelled.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.max("linked").alias("linked")))
-    # a node that nothing is linked with has a label of its own, which 0 stands for
-    pairs = cut(neighbours(held.select("grp", F.when(F.expr("linked AND lo = hi"), F.col("lo"))
-                                       .otherwise(F.lit(0)).alias("label"))).unionByName(
-        held.where("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))))
-    met = pairs.select(F.explode(F.array("ga", "gb")).alias("grp")).distinct()
+    held = cut(_held(labelled))
+    # pairs within a fingerprint count as meetings too
+    met = cut(crowds(held).join(held.select("grp", "n", (F.col("lo") != F.col("hi")).alias("open")), "grp", "right")
+              .where("open OR times > 0")
+              .select("grp", "n", (F.coalesce("times", F.lit(0)) + F.when(F.col("open"), F.col("n") - 1)
+                                   .otherwise(0)).alias("times")))
     labelled = cut(labelled.join(met, "grp", "left_semi"))
+    size, meetings = met.agg(F.coalesce(F.sum("n"), F.lit(0)),
+                             F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0))).first()
+    known = sketches
+    if FEW * COUNTED * size < meetings:
+        sizes = cut(_sizes(sets_of(labelled.select("node").distinct())))
+        labelled = cut(labelled.join(sizes, "node"))
+        known = cut(sketches.join(sizes, "node"))
+    apart = cut(_held(labelled).withColumn("met", F.lit(True)))
+    # within a fingerprint, as between two, the least size has to be admitted
+    pairs = cut(neighbours(held.select("grp").join(apart, "grp", "left")).unionByName(
+        apart.where("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))))
+    labelled = cut(_able(labelled, pairs))
     size = labelled.count()
     round_, before = 1, float("inf")
-    while size and FEW * size < (left := _left(pairs, labelled)) <= before / 2:
-        named = _named(labelled, round_).select("grp", "named")
-        across = (pairs.where("ga < gb")
-                  .join(named.select(F.col("grp").alias("ga"), F.col("named").alias("a")), "ga")
-                  .join(named.select(F.col("grp").alias("gb"), F.col("named").alias("b")), "gb"))
-        now = cut(_ordered(_inside(labelled, round_).unionByName(across.select("a", "b"))).join(
+    while size:
+        pairs = cut(_open(pairs, labelled, round_))
+        left = pairs.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+        if not FEW * size < left <= before / 2:
+            break
+        across = pairs.where("ga < gb AND la <> lb").select("a", "b")
+        now = cut(_ordered(_inside(labelled, round_).unionByName(across)).join(
             tested, ["a", "b"], "left_anti"))
-        found = cut(_similar(cut(_close(now, sketches)), sets_of))
+        found = cut(_similar(cut(_close(now, known)), sets_of))
         tested = cut(tested.unionByName(now))
         if found.isEmpty():
             break
         roots = _joined(roots, found)
-        labelled = cut(_labelled(labelled.select("grp", "node"), roots))
+        labelled = cut(_labelled(labelled.drop("label", "linked"), roots))
         round_, before = round_ + 1, left
     if size:
         parts = labelled.select("grp", "label").distinct()
-        open_ = (pairs.join(_side(parts, "a"), "ga").join(_side(parts, "b"), "gb")
+        open_ = (pairs.select("ga", "gb").join(_side(parts, "a"), "ga").join(_side(parts, "b"), "gb")
                  .where("la <> lb AND (ga < gb OR la < lb)"))
-        rest = _ordered(open_.join(_side(labelled.drop("linked"), "a"), ["ga", "la"])
-                        .join(_side(labelled.drop("linked"), "b"), ["gb", "lb"]).select("a", "b")).join(
-                            tested, ["a", "b"], "left_anti")
-        found = cut(_similar(cut(_close(rest, sketches)), sets_of))
+        held = cut(labelled.select("grp", "label", "node").join(known, "node"))
+
+        def side(x: str) -> DataFrame:
+            return _sided(held, x).withColumnsRenamed({f"{x}_grp": f"g{x}", f"{x}_label": f"l{x}"})
+
+        rest = (open_.join(side("a"), ["ga", "la"]).join(side("b"), ["gb", "lb"])
+                .where(_fits(known) & _first_meeting(F.shiftright("ga", BITS)))
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                .join(tested, ["a", "b"], "left_anti"))
+        found = cut(_similar(cut(rest), sets_of))
         if not found.isEmpty():
             roots = _joined(roots, found)
     return roots
 
 
-def _named(members: DataFrame, round_: int) -> DataFrame:
-    """grp, named (one of its nodes by a hash of the round), n (number of its nodes)."""
-    return members.groupBy("grp").agg(
-        F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("named"), F.count(F.lit(1)).alias("n"))
+def _sizes(sets: DataFrame) -> DataFrame:
+    """node, n (its shingles), most (the largest size of a set that can be similar to it), for the
+    given sets alone.
+
+    Two sets share at most what of either one is not its own, that is, occurs in another of the
+    sets. Of sizes n and m they need SIMILARITY / (1 + SIMILARITY) of n + m in common, which bounds m.
+    """
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    alone = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
+              .where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    common = F.col("n") - F.coalesce("own", F.lit(0))
+    most = F.floor(common * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + F.lit(1e-6))
+    return (sets.select("node", F.size("shingles").cast("long").alias("n")).join(alone, "node", "left")
+            .select("node", "n", most.alias("most")))
+
+
+def _held(labelled: DataFrame) -> DataFrame:
+    """One row per fingerprint: its least and greatest label, number of nodes, the label that all
+    its nodes share (0: none) and, where sizes are known, the least and the most they admit."""
+    sizes = [F.min("n").alias("low"), F.max("most").alias("most")] if "most" in labelled.columns else []
+    # a node that nothing is linked with has a label of its own, which 0 stands for
+    return (labelled.groupBy("grp").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("linked").alias("linked"),
+        F.count(F.lit(1)).alias("n"), *sizes)
+        .withColumn("label", F.when(F.expr("linked AND lo = hi"), F.col("lo")).otherwise(F.lit(0))))
+
+
+def _able(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``labelled`` whose node can be similar to one that it meets there.
+
+    Of two similar sets, the smaller one admits a set of its own size (n <= most). Others can only
+    be similar to such ones, and stay where one of a size that they admit is met. So those with
+    more than a ninth of shingles of their own (at similarity 0.8) form no pairs with each other.
+    """
+    both = pairs.toDF("grp", "near").unionByName(pairs.toDF("near", "grp"))
+    if "most" not in labelled.columns:
+        return labelled.join(both.select("grp").distinct(), "grp", "left_semi")
+    least = labelled.groupBy(F.col("grp").alias("near")).agg(
+        F.min(F.when(F.expr("n <= most"), F.col("n"))).alias("least"))
+    around = both.join(least, "near").groupBy("grp").agg(F.min("least").alias("least"))
+    return labelled.join(around, "grp").where("n <= most OR least <= most").drop("least")
+
+
+def _open(pairs: DataFrame, labelled: DataFrame, round_: int) -> DataFrame:
+    """The pairs of fingerprints whose nodes may lie in different classes, with a named node of each
+    (a, b), its class (la, lb) and ``left``: at most so many pairs of nodes in different classes, all pairs less those
+    of the class that has most nodes in both. No pair of nodes is formed."""
+    sizes = [F.min("n").alias("low"), F.max("most").alias("most")] if "most" in labelled.columns else []
+    parts = labelled.groupBy("grp", "label").agg(
+        F.count(F.lit(1)).cast("double").alias("c"),
+        F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node")).alias("named"), *sizes)
+    whole = cut(parts.groupBy("grp").agg(
+        F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"),
+        F.min(F.struct("named", "label")).alias("named"),
+        *[f(F.col(c)).alias(c) for f, c in ((F.min, "low"), (F.max, "most")) if sizes]))
+
+    def side(x: str) -> DataFrame:
+        more = [F.col(c).alias(f"{x}_{c}") for c in ("low", "most") if sizes]
+        return whole.select(F.col("grp").alias(f"g{x}"), F.col("all").alias(f"{x}_all"),
+                            F.col("top.c").alias(f"{x}_c"), F.col("top.label").alias(f"{x}_label"),
+                            F.col("named.named.node").alias(x), F.col("named.label").alias(f"l{x}"), *more)
+
+    every, alike = F.col("a_all") * F.col("b_all"), F.col("a_c") * F.col("b_c")
+    left = F.when(F.col("a_label") == F.col("b_label"), every - alike).otherwise(every)
+    admitted = F.expr("a_low <= b_most AND b_low <= a_most") if sizes else F.lit(True)
+    return (pairs.select("ga", "gb").join(side("a"), "ga").join(side("b"), "gb")
+            .select("ga", "gb", "a", "b", "la", "lb", left.alias("left"), admitted.alias("admitted"))
+            .where("left > 0 AND admitted").drop("admitted"))
 
 
 def _inside(members: DataFrame, round_: int) -> DataFrame:
-    """The nodes (a) of each fingerprint with its named one (b)."""
-    named = _named(members, round_).where("n > 1").select("grp", F.col("named").alias("b"))
-    return members.join(named, "grp").select(F.col("node").alias("a"), "b")
+    """The nodes (a) of each fingerprint with a named one of its nodes (b), taken by a hash of the
+    round, but for those of the named one's class (column ``label``, if there is one)."""
+    has = [c for c in members.columns if c == "label"]
+    named = members.groupBy("grp").agg(
+        F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", *has)).alias("m"),
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "m")
+    other = F.col("label") != F.col("m.label") if has else F.lit(True)
+    return members.select("grp", "node", *has).join(named, "grp").where(other).select(
+        F.col("node").alias("a"), F.col("m.node").alias("b"))
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -311,20 +467,6 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, f"{c}{side}")) for c in df.columns])
 
 
-def _left(pairs: DataFrame, labelled: DataFrame) -> float:
-    """Number of pairs of nodes that meet and lie in different classes: all pairs less those of one
-    class, counted by joins on the classes without forming a pair."""
-    parts = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    whole = parts.groupBy("grp").agg(F.sum("n").alias("n"))
-    every = (pairs.join(_side(whole, "a"), "ga").join(_side(whole, "b"), "gb")
-             .agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0.0)
-    here = parts.select(F.col("grp").alias("ga"), "label", F.col("n").alias("na"))
-    there = parts.select(F.col("grp").alias("gb"), "label", F.col("n").alias("nb"))
-    alike = (pairs.join(here, "ga").join(there, ["gb", "label"])
-             .agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0.0)
-    return every - alike
-
-
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without all but one document of each class of near
     copies: the one of the smallest doc_id (nulls last), then of the smallest hash of the row.
