@@ -18,8 +18,11 @@ def _joined(*parts: str) -> Column:
 
 
 def read_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Add the page parts as columns and drop the HTML, in one pass over it."""
-    df = pages.withColumn("_p", page_fields(html, url))
+    """Add the page parts as columns and drop the HTML, in one pass over it.
+
+    Exploded on purpose: the optimizer merges a plain column into an aggregation that ``pages`` may
+    come from, and then every use of a part gathers and parses the page again."""
+    df = pages.select("*", F.explode_outer(F.array(page_fields(html, url))).alias("_p"))
     return df.select(*[c for c in pages.columns if c != html], "_p.*")
 
 
