@@ -1,6 +1,7 @@
 """Resolution against one listing at a time, on small worlds full of chains and gaps."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -207,3 +208,32 @@ def test_a_city_of_a_few_ten_thousand_rows_is_walked(spark, monkeypatch):
     got = resolve.resolve_entities(listings, entities, records, held).groupBy("stage").count().collect()
     # 30 spots with one entity for each of the 37 sites, if no name joins them before
     assert sum(r["count"] for r in got) == 38_000 and {r["stage"] for r in got} >= {"link", "new"}
+
+
+@pytest.mark.parametrize("city_rows", [0, 10_000])
+def test_results_do_not_depend_on_the_bounds(spark, city_rows):
+    """Components beyond the walk's bound were settled in rounds, which took known entities first."""
+    rows, held, links = world(5, 90)
+    listings, entities = spark.createDataFrame(rows, LISTING), spark.createDataFrame(held, ENTITY)
+    got = {(r.source_id, r.external_id): (r.business_id, r.stage) for r in resolve.resolve_entities(
+        listings, entities, spark.createDataFrame([], "source_id string, external_id string, "
+                                                  "business_id string"),
+        spark.createDataFrame(links, "business_id string, kind string, value string"),
+        city_rows=city_rows, walk_rows=4).collect()}
+    plain, base = prepared(spark, listings, entities)
+    assert got == one_at_a_time(plain, base, links)
+
+
+def test_cells_hold_all_in_reach():
+    """Around the poles and the line where longitudes start again as well."""
+    rng = random.Random(6)
+    for lat, lng in ((43.7, -79.4), (0.0, 180.0), (-60.0, -180.0), (89.95, 0.0), (-89.8, 179.0), (85.0, 180.0)):
+        grid, spots = resolve.Grid(1000), []
+        for i in range(120):
+            x = lng + rng.uniform(-1, 1) * min(180, 0.012 / max(0.001, math.cos(math.radians(lat))))
+            at = (max(-90.0, min(90.0, lat + rng.uniform(-0.012, 0.012))), (x + 180) % 360 - 180)
+            spots.append(at)
+            grid.put(at, "", f"{i:03d}")
+        near = [{q for q in spots if resolve._apart(p, q) <= 1000} for p in spots]
+        assert all(n <= {q for (q, _), _ in grid.around(p)} for p, n in zip(spots, near))
+        assert 120 < sum(map(len, near)) < 120 * 120
